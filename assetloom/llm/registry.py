@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetloom.llm.langid import op9_language_id
 from assetloom.llm.mixing import op8_mixing
 
 
@@ -16,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_mixing": lambda s, d: op8_mixing(s, _table(s, d, "documents")),
+        "op9_language_id": lambda s, d: op9_language_id(s, _table(s, d, "documents")),
     }
 
 
