@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000
     """Cuts Arrow batches into pieces of about most_bytes of text, so that a worker's memory doesn't follow the batch size."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
-        size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         at, total = 0, np.cumsum(size)
         while at < b.num_rows:
             done = total[at - 1] if at else 0
