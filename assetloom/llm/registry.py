@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assetloom.llm.bpe import op3_bpe
 from assetloom.llm.langid import op9_language_id
 from assetloom.llm.mixing import op8_mixing
 from assetloom.llm.toxicity import op2_toxicity
@@ -18,6 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": lambda s, d: op2_toxicity(s, _table(s, d, "documents"), _table(s, d, "labels")),
+        "op3_bpe": lambda s, d: op3_bpe(s, _table(s, d, "documents")),
         "op8_mixing": lambda s, d: op8_mixing(s, _table(s, d, "documents")),
         "op9_language_id": lambda s, d: op9_language_id(s, _table(s, d, "documents")),
     }
