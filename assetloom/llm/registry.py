@@ -10,6 +10,7 @@ from assetloom.llm.bpe import op3_bpe
 from assetloom.llm.langid import op9_language_id
 from assetloom.llm.mixing import op8_mixing
 from assetloom.llm.toxicity import op2_toxicity
+from assetloom.llm.vectors import op1_exact_top_k, op6_near
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_top_k": lambda s, d: op1_exact_top_k(s, _table(s, d, "embeddings")),
+        "op6_near": lambda s, d: op6_near(s, _table(s, d, "embeddings")),
         "op2_toxicity": lambda s, d: op2_toxicity(s, _table(s, d, "documents"), _table(s, d, "labels")),
         "op3_bpe": lambda s, d: op3_bpe(s, _table(s, d, "documents")),
         "op8_mixing": lambda s, d: op8_mixing(s, _table(s, d, "documents")),
