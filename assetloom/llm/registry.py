@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assetloom.llm.bpe import op3_bpe
+from assetloom.llm.html import op7_html_text
 from assetloom.llm.langid import op9_language_id
 from assetloom.llm.mixing import op8_mixing
 from assetloom.llm.toxicity import op2_toxicity
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near": lambda s, d: op6_near(s, _table(s, d, "embeddings")),
         "op2_toxicity": lambda s, d: op2_toxicity(s, _table(s, d, "documents"), _table(s, d, "labels")),
         "op3_bpe": lambda s, d: op3_bpe(s, _table(s, d, "documents")),
+        "op7_html_text": lambda s, d: op7_html_text(_table(s, d, "pages")),
         "op8_mixing": lambda s, d: op8_mixing(s, _table(s, d, "documents")),
         "op9_language_id": lambda s, d: op9_language_id(s, _table(s, d, "documents")),
     }
