@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import slices
+from assetloom.llm.common import most_frequent, slices, staged
 
 END = "</w>"
 NONE = np.iinfo(np.int64).max
@@ -342,8 +342,9 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, lexicon_words: int = 65_536, text: str = "text") -> bytes:
-    top = word_counts(docs, path, text).where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, lexicon_words: int = 65_536, text: str = "text") -> bytes:
+    counts = staged(spark, word_counts(docs, path, text).where(F.octet_length("word") <= 64), "words")
+    top = most_frequent(counts, lexicon_words).select("word").collect()  # lexicon_words rows at most
     special = Splitter(path).special
     raw = sorted(r["word"].encode() for r in top if r["word"] not in special)
     return compile_lexicon(zip(raw, Merger(path).encode(raw), strict=True))
@@ -355,7 +356,7 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, text: str = "text",
 
 
 def _coded(spark: SparkSession, docs: DataFrame, path: str, text: str, with_ids: bool, **how) -> DataFrame:
-    sent = spark.sparkContext.broadcast(build_lexicon(docs, path, text=text, **how))  # lexicon_words words at most
+    sent = spark.sparkContext.broadcast(build_lexicon(spark, docs, path, text=text, **how))  # lexicon_words words at most
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).alias("__al_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 

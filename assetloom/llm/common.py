@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +71,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000
             at = end
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of counts (a table: it is read twice) with the highest n, ``most`` at most; rows of one count stay or go together.
+
+    A histogram over fine ranges of log n gives the least count that qualifies, so that the driver never sees more rows
+    than ranges, nor each task's own candidates."""
+    step = F.floor(F.log(F.col(n).cast("double")) * 256).cast("int")
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["b"]):  # 256 ranges for each power of e
+        total += r["k"]
+        if total > most:
+            break
+        least = r["b"]
+    return counts.where(F.lit(False) if least is None else step >= least)
 
 
 _U = np.uint64
