@@ -138,3 +138,8 @@ def word_hashes(data: bytes) -> np.ndarray:
     term = _BYTE[buf[flat]] * _POW[at]
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     return mix64(np.add.reduceat(term, first) + length.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of queries that ended: it does so once the driver's JVM finds them unused."""
+    spark.sparkContext._jvm.System.gc()

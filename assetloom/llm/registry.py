@@ -10,6 +10,7 @@ from assetloom.llm.bpe import op3_bpe
 from assetloom.llm.html import op7_html_text
 from assetloom.llm.langid import op9_language_id
 from assetloom.llm.mixing import op8_mixing
+from assetloom.llm.ngram_join import op10_ngram_join
 from assetloom.llm.packing import op5_packed_ids
 from assetloom.llm.toxicity import op2_toxicity
 from assetloom.llm.vectors import op1_exact_top_k, op6_near
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": lambda s, d: op3_bpe(s, _table(s, d, "documents")),
         "op5_packed_ids": lambda s, d: op5_packed_ids(s, _table(s, d, "documents")),
         "op7_html_text": lambda s, d: op7_html_text(_table(s, d, "pages")),
+        "op10_ngram_join": lambda s, d: op10_ngram_join(s, _table(s, d, "documents")),
         "op8_mixing": lambda s, d: op8_mixing(s, _table(s, d, "documents")),
         "op9_language_id": lambda s, d: op9_language_id(s, _table(s, d, "documents")),
     }
