@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assetloom.llm.bpe import op3_bpe
 from assetloom.llm.html import op7_html_text
 from assetloom.llm.langid import op9_language_id
+from assetloom.llm.lm import op4_lm_score
 from assetloom.llm.mixing import op8_mixing
 from assetloom.llm.ngram_join import op10_ngram_join
 from assetloom.llm.packing import op5_packed_ids
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_near": lambda s, d: op6_near(s, _table(s, d, "embeddings")),
         "op2_toxicity": lambda s, d: op2_toxicity(s, _table(s, d, "documents"), _table(s, d, "labels")),
         "op3_bpe": lambda s, d: op3_bpe(s, _table(s, d, "documents")),
+        "op4_lm_score": lambda s, d: op4_lm_score(s, _table(s, d, "documents")),
         "op5_packed_ids": lambda s, d: op5_packed_ids(s, _table(s, d, "documents")),
         "op7_html_text": lambda s, d: op7_html_text(_table(s, d, "pages")),
         "op10_ngram_join": lambda s, d: op10_ngram_join(s, _table(s, d, "documents")),
