@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from assetloom.llm.bpe import op3_bpe
 from assetloom.llm.html import op7_html_text
 from assetloom.llm.langid import op9_language_id
@@ -23,6 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_exact_top_k": lambda s, d: op1_exact_top_k(s, _table(s, d, "embeddings")),
         "op6_near": lambda s, d: op6_near(s, _table(s, d, "embeddings")),
         "op2_toxicity": lambda s, d: op2_toxicity(s, _table(s, d, "documents"), _table(s, d, "labels")),
