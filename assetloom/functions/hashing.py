@@ -4,6 +4,8 @@ A 64-bit hash is a bigint (two's complement); its text is 16 hexadecimal digits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,23 +23,26 @@ def mean(pixels: Column, n: int) -> Column:
     return F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.lit(float(n))
 
 
+def _with_mean(pixels: Column, n: int, made: Callable[[Column], Column]) -> Column:
+    """made(mean), with the mean worked out once a row: as a plain expression it would be repeated in every bit."""
+    return F.get(F.transform(F.array(mean(pixels, n)), made), 0)
+
+
 def threshold_bits(pixels: Column, least: Column, start: int = 0) -> Column:
-    """64 bits: bit i is set where pixel start + i is above the mean. Unrolled, so that it stays in generated code."""
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        out = out.bitwiseOR(F.when(F.get(pixels, start + i).cast("double") > least, F.lit(_bit(i)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+    """64 bits: bit i is set where pixel start + i is above the mean."""
+    one = F.array(*[F.lit(_bit(i)).cast("long") for i in range(64)])
+    part = F.slice(pixels, start + 1, 64)
+    return F.aggregate(F.zip_with(part, one, lambda x, b: F.when(x.cast("double") > least, b).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def phash64(pixels: Column) -> Column:
     """Mean-threshold hash of an 8 x 8 grid, row by row, lowest bit first."""
-    return threshold_bits(pixels, mean(pixels, 64))
+    return _with_mean(pixels, 64, lambda m: threshold_bits(pixels, m))
 
 
 def phash1024(pixels: Column) -> Column:
     """Sixteen words of a 32 x 32 grid; bit i of word s is pixel 64 s + i."""
-    m = mean(pixels, 1024)
-    return F.array(*[threshold_bits(pixels, m, 64 * s) for s in range(16)])
+    return _with_mean(pixels, 1024, lambda m: F.array(*[threshold_bits(pixels, m, 64 * s) for s in range(16)]))
 
 
 def sampled(pixels: Column, width: Column, height: Column) -> Column:
