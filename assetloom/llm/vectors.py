@@ -261,12 +261,12 @@ class Tables:
 def near(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, tables: int = 14, hashes: int = 8, width: float = 1.5, probes: int = 400, block: int = 16384, query_block: int = 1024) -> DataFrame:
     """Approximately the k largest inner products: query_id, rank, vec_id, score. rows: id long, v array<double>.
 
-    Inner products become distances: each candidate gets one more component that brings its length to the longest
-    one's, and queries are scaled to that length, so that the nearest point has the largest product. ``width`` is in
-    units of that length, so nothing is fitted. Every row is in every table; candidates of all tables and probes are
+    Inner products become distances: each candidate gets one more component that brings its length to the longest of
+    its range (lengths within a factor of 2), and queries are scaled to that length, so that the nearest point of a
+    range has the largest product. ``width`` is in units of that length, so nothing is fitted. Every row is in every table; candidates of all tables and probes are
     merged and reranked exactly."""
     rows = rows.withColumn("norm", _norm(F.col("v")))
-    n, longest, dims = rows.agg(F.count("*"), F.max("norm"), F.max(F.size("v"))).first()
+    n, longest = rows.agg(F.count("*"), F.max("norm")).first()
     schema = "query_id long, vec_id long, score double"
     if not n:
         return _ranked(spark.createDataFrame([], schema), k)
@@ -281,26 +281,30 @@ def near(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, ta
             return none
         x, q = _widened(_matrix(left["v"], np.float64), _matrix(right["v"], np.float64))
         ids, q_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        unit = x / longest
-        rest = np.sqrt(np.maximum(0.0, 1 - (unit**2).sum(axis=1)))
-        unit = np.column_stack([np.pad(unit, ((0, 0), (0, dims - unit.shape[1]))), rest])
-        aim = np.pad(q, ((0, 0), (0, dims + 1 - q.shape[1])))
+        aim = np.pad(q, ((0, 0), (0, 1)))
         aim = aim / np.sqrt((aim**2).sum(axis=1))[:, None]
-        hashed = Tables(dims + 1, tables, hashes, width, probes)
+        hashed = Tables(q.shape[1] + 1, tables, hashes, width, probes)
+        norm = np.sqrt((x**2).sum(axis=1))
         index = []
-        for t in range(tables):
-            keys = hashed.keys(t, unit)
-            order = np.argsort(keys, kind="stable")
-            some, start = np.unique(keys[order], return_index=True)
-            index.append((some, np.append(start, len(keys)), order))
+        range_of = np.minimum(np.floor(np.log2(np.maximum(longest / norm, 1))), 20)
+        for r in np.unique(range_of):
+            held = np.flatnonzero(range_of == r)
+            unit = x[held] / norm[held].max()
+            unit = np.column_stack([unit, np.sqrt(np.maximum(0.0, 1 - (unit**2).sum(axis=1)))])
+            for t in range(tables):
+                keys = hashed.keys(t, unit)
+                order = np.argsort(keys, kind="stable")
+                some, start = np.unique(keys[order], return_index=True)
+                index.append((t, some, np.append(start, len(keys)), held[order]))
         out: tuple[list, list, list] = ([], [], [])
         for at in range(0, len(q), 64):
             probes_of = [hashed.probe(t, aim[at : at + 64]) for t in range(tables)]
             for i in range(at, min(at + 64, len(q))):
                 seen = np.zeros(len(ids), dtype=bool)
-                for (some, start, order), keys in zip(index, probes_of, strict=True):
-                    place = np.minimum(np.searchsorted(some, keys[i - at]), len(some) - 1)
-                    for j in place[some[place] == keys[i - at]].tolist():
+                for t, some, start, order in index:
+                    keys = probes_of[t][i - at]
+                    place = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+                    for j in place[some[place] == keys].tolist():
                         seen[order[start[j] : start[j + 1]]] = True
                 rows = np.flatnonzero(seen & (ids != q_ids[i]))
                 if not len(rows):
