@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from assetloom.llm import sql
 from assetloom.llm.bpe import op3_bpe
 from assetloom.llm.html import op7_html_text
 from assetloom.llm.langid import op9_language_id
@@ -39,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_top_k": sql.OP1, "op10_ngram_join": sql.OP10}
