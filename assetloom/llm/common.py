@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _own_dirs: dict[str, str] = {}
 
@@ -142,4 +143,12 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def freed(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of queries that ended: it does so once the driver's JVM finds them unused."""
+    gc.collect()  # else Python's own references keep them in use
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner runs beside
+
+
+def removed(spark: SparkSession, table: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    for name in table.inputFiles()[:1]:
+        _remove(spark, name.rpartition("/")[0])

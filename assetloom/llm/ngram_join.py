@@ -8,18 +8,18 @@ non-empty segments: of two similar sets, the one that ends earlier finds all its
 
 Sets with equal content are one class from the start. Then:
 
-1. Signatures are counted; one that a single class has is worth a place in the pigeonhole argument at no cost. Most
-   documents have too few shared ones to be similar to anything, and drop out.
-2. Allocation by cost: each remaining class needs (a + b) / 7 + 1 places. It takes its unshared signatures, then the
-   rarest shared ones, and where a common segment would be the next, the one-deletion neighbourhood of a rare
-   segment, worth one place more, if that is cheaper.
-3. Classes are verified exactly, on whole sets, against the hub of each signature (its smallest class), then against
-   hubs among those not yet connected, for a few rounds. At last every pair with a common allocated signature that is
-   not yet connected and passes the count filter is verified. Pairs within a component are never listed.
-
-Bands: sizes below ``SINGLES`` have segments of one hash; above, each band spans a factor of 4 and has as many
-segments as its largest size, so that fewer than floor(0.4 * size) + 1 non-empty ones have a probability below
-1e-20 a document. Sets of the next band's lower end are also segmented by this band.
+1. Signatures are counted. Most classes share too few to be similar to anything, and drop out.
+2. Allocation by cost: a class needs (a + b) / 7 + 1 places in the pigeonhole argument. A signature that no other class
+   has is a place at no cost. A segment whose one-deletion neighbourhood no other class touches differs by two at least
+   from everyone's, and is two places. What is then missing is made up by the rarest shared signatures; only these are
+   looked up.
+3. Whole sets are compared exactly: first with the hub of each signature (its smallest node), for a few rounds, each
+   among what isn't connected yet. At last every class is compared with all members of each other component that it
+   met in a signature, in blocks. Pairs within a component are never listed.
+
+Bands: sizes below ``SINGLES`` have a segment for each hash, and give all; above, each band spans a factor of 4 and
+has two thirds as many segments as its largest size, so that too few non-empty ones have a probability below 1e-20 a
+document. Sets at the next band's lower end are also segmented by this band.
 
 Defined results: null and blank texts have an empty set and link with nothing; fewer than five words are one shingle;
 rows of equal doc_id are separate documents; a null doc_id has n_shingles, links with nothing and has no component;
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetloom.llm.common import freed, mix64, slices, staged, word_hashes
+from assetloom.llm.common import freed, mix64, removed, slices, staged, word_hashes
 from assetloom.llm.components import components
 
 WIDTH = 5
@@ -75,35 +75,35 @@ def channels(n: int) -> list[int]:
 
 
 def segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the first floor(0.4 n) + 1 non-empty segments: shingles by segment, and where each begins (and the end)."""
-    most = 2 * len(s) // 5 + 1
+    """For the first floor(0.4 n) + 1 non-empty segments (band 0: all): shingles by segment, and where each begins (and the end)."""
     if band == 0:
-        return s[:most], np.arange(len(s[:most]) + 1)
-    place = (mix64(s + _U(band)) >> _U(32)) * _U(SINGLES * 4**band) >> _U(32)
+        return s, np.arange(len(s) + 1)
+    most = 2 * len(s) // 5 + 1
+    place = (mix64(s + _U(band)) >> _U(32)) * _U(SINGLES * 4**band * 2 // 3) >> _U(32)
     order = np.argsort(place, kind="stable")
     start = np.append(np.flatnonzero(np.diff(place[order], prepend=_U(2**63))), len(s))[: most + 1]
     return s[order[: start[-1]]], start
 
 
-def signatures(s: np.ndarray, band: int) -> np.ndarray:
-    """48-bit signatures of the segments; the sum over a segment identifies the subset, wherever it stands."""
+def _named(total: np.ndarray, band: int, bits: int) -> np.ndarray:
+    return (mix64(total + _U(band)) >> _U(64 - bits)).astype(np.int64)
+
+
+def signatures(s: np.ndarray, band: int, bits: int) -> np.ndarray:
+    """Distinct signatures of the segments; the sum over a segment identifies the subset, wherever it stands."""
     rows, start = segments(s, band)
-    total = np.add.reduceat(mix64(rows ^ _U(0x5851F42D4C957F2D)), start[:-1])
-    return (mix64(total + _U(band)) >> _U(16)).astype(np.int64)
+    return np.unique(_named(np.add.reduceat(mix64(rows ^ _U(0x5851F42D4C957F2D)), start[:-1]), band, bits))
 
 
-def deletions(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-deletion neighbourhoods of the segments with two shingles or more: signature, the segment's own signature,
-    and whether the signature is of the whole segment."""
+def deletions(s: np.ndarray, band: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-deletion neighbourhoods of the segments of two shingles or more: their own signatures, each neighbour's
+    signature, and for each neighbour the signature of the whole segment."""
     rows, start = segments(s, band)
     each = mix64(rows ^ _U(0x5851F42D4C957F2D))
-    total = np.add.reduceat(each, start[:-1])
-    size = np.diff(start)
-    own = (mix64(total + _U(band)) >> _U(16)).astype(np.int64)
+    total, size = np.add.reduceat(each, start[:-1]), np.diff(start)
     at = np.repeat(np.arange(len(size)), size)
-    big = size[at] > 1
-    part = (mix64(total[at] - each + _U(band)) >> _U(16)).astype(np.int64)
-    return part[big], own[at[big]], big
+    big, own = size[at] > 1, _named(total, band, bits)
+    return np.unique(own[size > 1]), _named(total[at] - each, band, bits)[big], own[at[big]]
 
 
 def _class_key(s: np.ndarray) -> int:
@@ -111,13 +111,13 @@ def _class_key(s: np.ndarray) -> int:
         return int(mix64(np.array([mix64(s).sum() + _U(len(s)) * _TURN[0]], dtype=_U))[0] >> _U(2))  # 62 bits
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, bits: int) -> DataFrame:
     """key, n, class, own, low for each row of docs (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = [shingles(t) for t in b["text"].to_pylist()]
-            both = [[signatures(s, c) for c in channels(len(s))] if len(s) else [] for s in sets]
+            both = [[signatures(s, c, bits) for c in channels(len(s))] if len(s) else [] for s in sets]
             none = np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([x[0] if x else none for x in both], pa.list_(pa.int64())), pa.array([x[1] if len(x) > 1 else none for x in both], pa.list_(pa.int64()))],
@@ -127,85 +127,159 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, class long, own array<long>, low array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+NEAR = "node long, low boolean, set array<long>, own array<long>, big array<long>, part array<long>, whole array<long>"
+
+
+def _near(docs: DataFrame, bits: int) -> DataFrame:
+    """For docs (node, class, text), a row for each band: signatures with their neighbourhoods; the first also has the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            both = [(c, s) for c, t in zip(b["class"].to_pylist(), b["text"].to_pylist(), strict=True) if len(s := shingles(t)) and _class_key(s) == c]  # else another row of this key
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in both], pa.int64()), pa.array([s.view(np.int64) for _, s in both], pa.list_(pa.int64()))], names=["class", "set"])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for node, c, t in zip(b["node"].to_pylist(), b["class"].to_pylist(), b["text"].to_pylist(), strict=True):
+                s = shingles(t)
+                if len(s) and _class_key(s) == c:  # else another row of this key
+                    for i, band in enumerate(channels(len(s))):
+                        for to, x in zip(rows, (node, i == 1, s.view(np.int64) if i == 0 else s[:0].view(np.int64), signatures(s, band, bits), *deletions(s, band, bits)), strict=True):
+                            to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.bool_()), *[pa.array(x, pa.list_(pa.int64())) for x in rows[2:]]], names=["node", "low", "set", "own", "big", "part", "whole"])
+
+    return docs.mapInArrow(run, NEAR)
+
 
-    return docs.mapInArrow(run, "class long, set array<long>")
+def _apart(near: DataFrame, hits: DataFrame) -> DataFrame:
+    """node, low, free: how many segments of two shingles or more differ by two at least from every other node's.
+
+    Grouped extremes tell whether another node has a value, so a value that many nodes share makes no pairs."""
+    own = near.select("node", "low", F.explode("own").alias("v")).select("node", "low", "v", F.col("v").alias("sig"), F.lit(True).alias("is_own"))
+    part = near.select("node", "low", F.inline(F.arrays_zip(F.col("part").alias("v"), F.col("whole").alias("sig"))), F.lit(False).alias("is_own"))
+    values = own.unionByName(part)
+    side = lambda f, o: f(F.when(F.col("is_own") == o, F.col("node")))
+    met = values.groupBy("v").agg(side(F.min, True).alias("o0"), side(F.max, True).alias("o1"), side(F.min, False).alias("p0"), side(F.max, False).alias("p1")).where("least(o0, p0) < greatest(o1, p1) and o0 is not null and p0 is not null")
+    first, last = (F.when(F.col("is_own"), F.col(f"p{i}")).otherwise(F.col(f"o{i}")) for i in (0, 1))
+    touched = values.join(met, "v").where((first != F.col("node")) | (last != F.col("node"))).select("node", "low", "sig").union(hits.select("node", "low", "sig"))
+    return near.select("node", "low", F.explode("big").alias("sig")).join(touched, ["node", "low", "sig"], "left_anti").groupBy("node", "low").agg(F.count("*").alias("free"))
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
-    a, b = sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
+    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return staged(spark, pairs.join(b, "b").join(a, "a").where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
 
 
-def link_classes(spark: SparkSession, docs: DataFrame, hub_rounds: int = 3, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels) for docs (key long, text): rows has key, n, class; labels has class, label for linked classes."""
-    rows = staged(spark, _described(docs), "described")
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """rows for a broadcast join if they are few, checked by counting; else for a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def link_classes(spark: SparkSession, docs: DataFrame, hub_rounds: int = 2, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels) for docs (key long, text): rows has key, n, node; labels has node, label for linked nodes.
+
+    A class of equal sets is known by its node: its smallest key, or, where rows of that key differ, its set's hash."""
+    bits = min(48, max(24, docs.count().bit_length() + 16))  # as the rows, so that few signatures are equal by chance
+    rows = staged(spark, _described(docs, bits), "described")
     one = rows.where("class is not null and key is not null")
+    reps = staged(spark, one.groupBy("class").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max(F.size("own")).alias("e0"), F.max(F.size("low")).alias("e1")), "reps")
+    twice = reps.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twice"))
+    reps = staged(spark, reps.join(_small(twice, broadcast_rows), "key", "left").withColumn("node", F.when(F.col("twice"), F.col("class")).otherwise(F.col("key"))).drop("twice"), "nodes")
+    rows, described = staged(spark, rows.select("key", "n", "class"), "rows"), rows
+    copies = one.select("key", "class").join(reps.select("class", F.col("key").alias("rep")), "class").where("key <> rep").select("key", "class").distinct()
+    first = one.join(_small(copies, broadcast_rows), ["key", "class"], "left_anti").join(_small(twice, broadcast_rows), "key", "left").withColumn("node", F.when(F.col("twice"), F.col("class")).otherwise(F.col("key")))
+
     h = lambda a, b: F.floor((a + b) / 7)  # noqa: E731  the most shingles in which similar sets of these sizes differ
     n, up, down = F.col("n"), F.floor(F.col("n") * 4 / 3), F.ceil(F.col("n") * 3 / 4)
-    sigs = one.select("class", F.explode("own").alias("sig")).select("sig", (F.col("class") * 2).alias("who")).union(one.select("class", F.explode("low").alias("sig")).select("sig", (F.col("class") * 2 + 1).alias("who")))
-    shared = sigs.groupBy("sig").agg(F.min(F.shiftright("who", 1)).alias("m"), F.max(F.shiftright("who", 1)).alias("x"), F.count("*").alias("f")).where("m < x").select("sig", "f")
-    hits = staged(spark, sigs.join(shared, "sig").groupBy("sig", "who").agg(F.max("f").alias("f")), "hits")
+    sigs = first.select("node", F.lit(False).alias("low"), F.explode("own").alias("sig")).union(first.select("node", F.lit(True).alias("low"), F.explode("low").alias("sig")))
+    shared = sigs.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1")
+    hits = staged(spark, sigs.join(shared, "sig").select("sig", "node", "low", "f").distinct(), "hits")
+    del sigs, shared, first, one, copies
+    removed(spark, described)  # its signatures are large, and no longer needed
     freed(spark)
 
-    # How many signatures each class gave, and how many of them must be shared if it is similar to anything.
-    size = one.groupBy("class").agg(F.max("n").alias("n"), F.max(F.size("own")).alias("e0"), F.max(F.size("low")).alias("e1"), F.min("key").alias("key"))
-    least = F.greatest(F.lit(1), F.least(F.floor(down * 2 / 5) - h(n, down), F.floor(n * 2 / 5) - h(n, up)))
-    count = hits.groupBy("who").agg(F.count("*").alias("c")).withColumn("class", F.shiftright("who", 1))
-    left = count.join(size, "class").where(F.col("c") >= least).withColumn("e", F.when(F.col("who") % 2 == 0, F.col("e0")).otherwise(F.col("e1")))
-    left = staged(spark, left.withColumn("need", h(n, up) + 1 - (F.col("e") - F.col("c"))).select("who", "class", "key", "need", "n"), "left")
-    cost = Window.partitionBy("who").orderBy("f", "sig")
-    rare = hits.join(left, "who").withColumn("probe", F.row_number().over(cost) <= F.col("need")).select("sig", "who", "class", "n", "probe")
+    # How many signatures of each node must be shared if it is similar to anything; of band 0, three quarters.
+    whole = (F.col("low") & (n < 4 * SINGLES)) | (~F.col("low") & (n < SINGLES))  # band 0 gives all
+    least = F.when(whole, down).otherwise(F.least(F.floor(down * 2 / 5) - h(n, down), F.floor(n * 2 / 5) - h(n, up)))
+    least = least - F.when(whole, n).otherwise(F.floor(n * 2 / 5) + 1) + F.col("e")  # less where signatures coincide by chance
+    left = hits.groupBy("node", "low").agg(F.count("*").alias("c")).join(reps, "node").withColumn("e", F.when(F.col("low"), F.col("e1")).otherwise(F.col("e0"))).where(F.col("c") >= F.greatest(F.lit(1), least))
+    left = staged(spark, left.withColumn("need", h(n, up) + 1 - (F.col("e") - F.col("c"))).select("node", "low", "class", "key", "need"), "left")
+    wanted = left.select("node", "class", "key").distinct()
+    near = staged(spark, _near(docs.join(_small(wanted, broadcast_rows), "key").select("node", "class", "text"), bits), "near")
+    sets = near.where(F.size("set") > 0).select("node", "set")
+
+    # Allocation: free places first, then the rarest shared signatures.
+    cost = Window.partitionBy("node", "low").orderBy("f", "sig")
+    place = left.join(_apart(near, hits), ["node", "low"], "left").select("node", "low", (F.col("need") - F.coalesce("free", F.lit(0))).alias("need"))
+    rare = hits.join(place, ["node", "low"]).withColumn("probe", F.row_number().over(cost) <= F.col("need")).select("sig", "node", "probe")
     rare = staged(spark, rare, "allocated")
-    probed = rare.where("probe").select("sig").distinct()
-    rare = rare.join(probed, "sig")
-
-    wanted = left.select("class", "key").distinct()
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)  # checked; else a shuffle join
-    sets = staged(spark, _sets(docs.join(wanted, "key").select("class", "text")), "sets")
+    freed(spark)
+    rare = staged(spark, rare.join(rare.where("probe").select("sig").distinct(), "sig"), "probed")
+    freed(spark)
 
-    links = None
-    label = None
-    tried = None
+    links = label = None
     for k in range(hub_rounds):
-        now = rare if label is None else rare.join(label, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-        if label is None:
-            now = now.withColumn("comp", F.col("class"))
-        hubs = now.groupBy("sig").agg(F.min(F.struct("comp", "class")).alias("first"), F.max(F.struct("comp", "class")).alias("last"))
+        now = rare.withColumn("comp", F.col("node")) if label is None else _labelled(rare, label)
+        hubs = now.groupBy("sig").agg(F.min(F.struct("comp", "node")).alias("first"), F.max(F.struct("comp", "node")).alias("last"))
         hubs = hubs.where("first.comp <> last.comp").select("sig", F.col("last" if k % 2 else "first").alias("hub"))
-        pairs = now.join(hubs, "sig").where("comp <> hub.comp").select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(spark, pairs, "pairs")
-        found = _verified(spark, pairs, sets)
+        pairs = now.join(hubs, "sig").where("comp <> hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        found = _verified(spark, staged(spark, pairs, "pairs"), sets)
         links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
         label = components(spark, links).withColumnRenamed("node", "class")
-    lists = rare.groupBy("who").agg(F.collect_list("sig").alias("all"), F.collect_list(F.when(F.col("probe"), F.col("sig"))).alias("own"))  # as long as a document
-    now = rare.join(label, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-    mixed = now.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
-    now = now.join(mixed, "sig").join(lists, "who")
-    p = now.where("probe").select("sig", F.col("class").alias("pa"), F.col("comp").alias("ca"), F.col("own").alias("la"), F.col("n").alias("na"))
-    x = now.select("sig", F.col("class").alias("pb"), F.col("comp").alias("cb"), F.col("all").alias("lb"), F.col("n").alias("nb"))
-    first = F.array_min(F.array_intersect("la", "lb")) == F.col("sig")  # a pair comes from one of its signatures only
-    rest = p.join(x, (p["sig"] == x["sig"]) & (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & F.array_min(F.array_intersect("la", "lb")).eqNullSafe(p["sig"]))
-    rest = rest.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = _verified(spark, staged(spark, rest, "rest"), sets)
-    return rows, components(spark, links.union(found)).withColumnRenamed("node", "class")
+        freed(spark)
+    found = _rest(spark, _labelled(rare, label), sets)
+    label = components(spark, links.union(found))
+    return rows.join(reps.select("class", "node"), "class", "left").select("key", "n", "node"), label
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label.withColumnRenamed("class", "node"), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+
+def _rest(spark: SparkSession, now: DataFrame, sets: DataFrame, block: int = 256) -> DataFrame:
+    """Links between classes of different components (comp) with a probed signature in common.
+
+    A signature meets components, not their members; a class is then compared with the members of each component that
+    it met, in blocks of about ``block`` members, and only links leave a block."""
+    members = now.select("node", "comp").distinct()
+    size = members.groupBy("comp").agg((F.floor(F.count("*") / block) + 1).alias("blocks"))
+    met = now.where("probe").select("sig", F.col("node").alias("p"), F.col("comp").alias("own")).distinct().join(now.select("sig", "comp").distinct(), "sig").where("own <> comp").select("p", "comp").distinct()
+    met = staged(spark, met.join(size, "comp"), "met")
+    n = max(1, -(-met.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0] // 64))
+    cell = F.pmod(F.xxhash64("comp", "block"), F.lit(n)).alias("cell")
+    asked = met.select("p", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(sets.select(F.col("node").alias("p"), F.col("set").alias("mine")), "p").select(cell, "comp", "block", "p", "mine")
+    there = members.join(met.select("comp", "blocks").distinct(), "comp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sets.select("node", F.col("set").alias("theirs")), "node").select(cell.alias("place"), F.col("comp").alias("group"), F.col("block").alias("part"), "node", "theirs")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        by: dict[tuple[int, int], list[int]] = {}
+        for i, k in enumerate(zip(right["group"].to_pylist(), right["part"].to_pylist(), strict=True)):
+            by.setdefault(k, []).append(i)
+        mine: dict[tuple[int, int], list[int]] = {}
+        for i, k in enumerate(zip(left["comp"].to_pylist(), left["block"].to_pylist(), strict=True)):
+            mine.setdefault(k, []).append(i)
+        p, x = left["p"].to_numpy(), right["node"].to_numpy()
+        ps, xs = left["mine"].to_numpy(), right["theirs"].to_numpy()
+        for k, asking in mine.items():
+            if not (held := by.get(k)):
+                continue
+            size = np.array([len(xs[i]) for i in held])
+            flat = np.concatenate([xs[i] for i in held]).view(_U)
+            start = np.cumsum(size) - size
+            for i in asking:
+                s = ps[i].view(_U)  # sorted as unsigned
+                common = np.add.reduceat(s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat, start, dtype=np.int64) if (4 * np.minimum(size, len(s)) >= 3 * np.maximum(size, len(s))).any() else np.zeros(len(held), np.int64)
+                for j in np.flatnonzero(100 * common >= 75 * (size + len(s) - common)).tolist():
+                    a.append(p[i])
+                    b.append(x[held[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return staged(spark, asked.groupBy("cell").cogroup(there.groupBy("place")).applyInArrow(compare, "a long, b long"), "rest")
 
 
 def joined(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """A row for each row of docs: key, n_shingles, component_id (the smallest key of its group)."""
     rows, labels = link_classes(spark, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), **how)
-    group = rows.join(labels, "class", "left").select("key", "n", F.coalesce("label", "class").alias("group"))
-    group = staged(spark, group, "groups")
+    group = rows.where("key is not null").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
+    group = staged(spark, group.select("key", "n", "group").union(rows.where("key is null").select("key", "n", F.lit(None).cast("long"))), "groups")
     least = group.where("group is not null").groupBy("group").agg(F.min("key").alias("least"))
     return group.join(least, "group", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
 
