@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -118,12 +119,16 @@ class ShardReader:
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct word; a bounded memo holds what it said."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads' arenas would only hold memory
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        # For words, which the splitter has normalised: the same model without the normaliser.
+        self.of_words = Tokenizer(self.whole.model)
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.split, self.memo, self.most = Splitter(path), {}, most
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
@@ -134,13 +139,15 @@ class LibraryEncoder:
     def bits(self) -> int:
         return max(1, int(self.whole.get_vocab_size() - 1).bit_length())
 
-    def _learn(self, new: list[str]) -> None:
-        lines = [" ".join(new[i : i + 256]) for i in range(0, len(new), 256)]
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.whole.encode_batch_fast(lines, add_special_tokens=False)])
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(new):
-            raise ValueError("the library parts words otherwise than the splitter")
-        self.memo |= {w: x.tobytes() for w, x in zip(new, np.split(ids, cuts[:-1]), strict=True)}
+    def _learn(self, new: list[str], at_once: int = 4096) -> None:
+        for i in range(0, len(new), at_once):
+            some = new[i : i + at_once]
+            lines = [" ".join(some[j : j + 256]) for j in range(0, len(some), 256)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.of_words.encode_batch_fast(lines, add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("the library parts words otherwise than the splitter")
+            self.memo |= {w: x.tobytes() for w, x in zip(some, np.split(ids, cuts[:-1]), strict=True)}
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         found: list[list[str] | np.ndarray] = []
@@ -175,7 +182,7 @@ def write(spark: SparkSession, docs: DataFrame, directory: str, path: str, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = writer = None
         shard = 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1_500_000):
             if encoder is None:
                 encoder = LibraryEncoder(path)
                 writer = ShardWriter(encoder.bits)
