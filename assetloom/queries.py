@@ -152,9 +152,9 @@ def q_hamming(spark, d):
     return _neighbours(spark, d).select("vec_id", "other", H.hamming(F.col("h"), F.col("g")).alias("distance"))
 
 
-@_query(f"SELECT vec_id, other, distance <= 30 AS similar FROM ({_NEXT})")
+@_query(f"SELECT vec_id, other, distance <= 30 AS is_similar FROM ({_NEXT})")
 def q_similar(spark, d):
-    return _neighbours(spark, d).select("vec_id", "other", H.similar(F.col("h"), F.col("g"), 30).alias("similar"))
+    return _neighbours(spark, d).select("vec_id", "other", H.similar(F.col("h"), F.col("g"), 30).alias("is_similar"))
 
 
 @_query(f"SELECT vec_id, k::INTEGER AS flipped, bit_count(xor(h, g))::INTEGER AS distance FROM (SELECT vec_id, k, h, xor(h, ((1::UBIGINT << k) - 1)::UBIGINT) AS g FROM ({_ONE}), range(0, 9) t(k))")
