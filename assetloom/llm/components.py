@@ -1,32 +1,13 @@
-"""Connected components with the smallest member as label, without collecting any link."""
+"""Connected components, with every round as a table in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assetloom.llm.common import staged
+from assetloom.operators import components as stars
 
 
 def components(spark: SparkSession, links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, label for every node of links (a long, b long).
-
-    Alternates large-star and small-star rounds: each node hangs its larger neighbours, then all its smaller ones, on
-    its smallest neighbour, until the links form stars. A node's links are combined by grouped minima only, so that a
-    hub with many links needs no list in one task. Every round is a table in the shared folder."""
-    edges = staged(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).distinct()
-        new = staged(spark, small, "edges")
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    """node, label for every node of links (a long, b long)."""
+    return stars.components(links, lambda df: staged(spark, df, "edges"), most_rounds)

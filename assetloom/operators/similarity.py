@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.hashing import hamming
+from assetloom.operators.components import components
 
 
 def bands(h: Column, max_distance: int) -> list[Column]:
@@ -36,20 +37,10 @@ def near_hashes(hashes: DataFrame, max_distance: int, phash: str = "phash") -> D
     return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
-def near_groups(hashes: DataFrame, pairs: DataFrame, key: str, phash: str = "phash", most_rounds: int = 64) -> DataFrame:
-    """key, label: the smallest key that is reached over near pairs or equal hashes.
-
-    Labels of hashes spread along the pairs, and each round also follows the label's own label, until none changes."""
-    label = hashes.where(F.col(phash).isNotNull()).groupBy(F.col(phash).alias("h")).agg(F.min(key).alias("label"))
-    both = pairs.select(F.col("a").alias("h"), F.col("b").alias("to")).union(pairs.select(F.col("b").alias("h"), F.col("a").alias("to"))).checkpoint()
-    label = label.checkpoint()
-    for _ in range(most_rounds):
-        heard = both.join(label, "h").groupBy(F.col("to").alias("h")).agg(F.min("label").alias("near"))
-        new = label.join(heard, "h", "left").select("h", "label", F.least("label", "near").alias("new"))
-        up = new.groupBy(F.col("label").alias("old")).agg(F.min("new").alias("best"))  # what any member of a label has found
-        new = new.join(up.withColumnRenamed("old", "label"), "label").select("h", "label", F.least("new", "best").alias("new")).checkpoint()
-        changed = new.where("label <> new").limit(1).count()
-        label = new.select("h", F.col("new").alias("label"))
-        if not changed:
-            break
+def near_groups(hashes: DataFrame, pairs: DataFrame, key: str, phash: str = "phash") -> DataFrame:
+    """key, label: the smallest key that is reached over near pairs or equal hashes, however long the chain."""
+    least = hashes.where(F.col(phash).isNotNull()).groupBy(F.col(phash).alias("h")).agg(F.min(key).alias("least"))
+    group = components(pairs.select("a", "b"), lambda df: df.checkpoint()).withColumnsRenamed({"node": "h", "label": "group"})
+    grouped = least.join(group, "h", "left").select("h", "least", F.coalesce("group", "h").alias("group"))
+    label = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("label")), "group").select("h", "label")
     return hashes.join(label, F.col(phash) == F.col("h")).select(key, "label")

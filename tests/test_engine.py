@@ -153,6 +153,18 @@ def test_bands_equal_brute_force(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+def test_groups_of_long_chains(spark):
+    ring = [((1 << i) - 1) if i <= 64 else (2**64 - 1) ^ ((1 << (i - 64)) - 1) for i in range(120)]  # each a bit from the next
+    rows = [(i, h - 2**64 if h >= 2**63 else h) for i, h in enumerate(ring)]
+    df = spark.createDataFrame([*rows, (500, rows[119][1]), (501, None)], "id long, phash long")
+    got = similarity.near_groups(df, similarity.near_hashes(df, 1), "id").collect()
+    assert sorted(map(tuple, got)) == [*((i, 0) for i in range(120)), (500, 0)]
+    df = spark.range(900).selectExpr("id", "id * 7 as phash")
+    pairs = spark.range(899).where("id <> 399").selectExpr("id * 7 as a", "id * 7 + 7 as b")
+    got = similarity.near_groups(df, pairs, "id").collect()
+    assert sorted(map(tuple, got)) == [(i, 0 if i < 400 else 400) for i in range(900)]
+
+
 def test_suffix_plan_blocks_taken_names(spark):
     head = bytes.fromhex("89504E470D0A1A0A") + bytes(8)
     df = spark.createDataFrame([("/p/a.jpg", head), ("/p/a.png", head), ("/p/b.jpg", head), ("/p/c.jpg", b"?"), ("/p/d.doc", head)], "path string, content binary")
