@@ -264,7 +264,7 @@ def near(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, ta
     Inner products become distances: each candidate gets one more component that brings its length to the longest of
     its range (lengths within a factor of 2), and queries are scaled to that length, so that the nearest point of a
     range has the largest product. ``width`` is in units of that length, so nothing is fitted. Every row is in every table; candidates of all tables and probes are
-    merged and reranked exactly."""
+    merged and reranked exactly; where they are fewer than k in a block, the whole block is ranked."""
     rows = rows.withColumn("norm", _norm(F.col("v")))
     n, longest = rows.agg(F.count("*"), F.max("norm")).first()
     schema = "query_id long, vec_id long, score double"
@@ -307,6 +307,8 @@ def near(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, ta
                     for j in place[some[place] == keys].tolist():
                         seen[order[start[j] : start[j + 1]]] = True
                 rows = np.flatnonzero(seen & (ids != q_ids[i]))
+                if len(rows) < k:  # too few were seen: the whole block
+                    rows = np.flatnonzero(ids != q_ids[i])
                 if not len(rows):
                     continue
                 rough = x[rows] @ q[i]

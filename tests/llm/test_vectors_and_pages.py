@@ -90,6 +90,19 @@ def test_neighbours(spark, rows):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("n", [10, 40])
+def test_no_query_has_too_few_neighbours(spark, n):
+    r = np.random.default_rng(9)
+    far = r.normal(size=(n, 12)).astype(np.float32)
+    far[1:] = -far[0] + far[1:] / 50  # all candidates lie opposite the query
+    got = vectors.op6_near(spark, frame(spark, [(i, v.tolist()) for i, v in enumerate(far)])).collect()
+    for q in range(0, n, 20):
+        scores = sorted((-(far[q].astype(float) * far[i].astype(float)).sum(), i) for i in range(n) if i != q)[:20]
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [x for x, _ in mine] == list(range(1, len(scores) + 1))
+        assert q or [i for _, i in mine] == [i for _, i in scores]
+
+
 def test_probes_come_in_the_order_of_distance():
     t = vectors.Tables(5, 1, 3, 1.0, 27)
     q = np.random.default_rng(0).normal(size=(4, 5))
