@@ -37,6 +37,7 @@ MAIN_WORDS = frozenset("article main content post entry story body".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 
@@ -98,7 +99,7 @@ def blocks(page: str | None) -> list[Block]:
                 heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
                 return
 
-    at, size, low = 0, len(page), None
+    at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
         if not m:
@@ -121,9 +122,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in RAW:
             if not m[4].endswith("/"):
-                low = page.lower() if low is None or len(low) != size else low
-                stop = low.find(f"</{name}", at)
-                at = size if stop < 0 else (page.find(">", stop) + 1 or size)
+                stop = _RAW_END[name].search(page, at)
+                at = (page.find(">", stop.end()) + 1 or size) if stop else size
             text.append((" ", False))
             continue
         if name == "br":

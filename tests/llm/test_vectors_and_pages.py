@@ -135,6 +135,11 @@ def test_page_without_main_element():
     assert html.main_text(page, html.trained()) == "Head\n\nSome words of the text.\n\nAnd more of it here"
 
 
+def test_raw_elements_behind_letters_that_lower_case_lengthens():
+    page = "<article><p>" + "\u0130" * 40 + "</p><SCRIPT>var x = '<p>no</p>';</ScRipt><p>All of this is main text.</p><style>p{}</STYLE><p>And so is this.</p></article>"
+    assert [b.text for b in html.blocks(page)] == ["\u0130" * 40, "All of this is main text.", "And so is this."]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</p>", "<a href='", "<script>never closed", "<!-- never closed", "&#0;&bad;", "<p>" * 3000, "<div><span>" * 2000])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page, html.trained()), str)
