@@ -20,7 +20,8 @@ def _bit(i: int) -> int:
 
 
 def mean(pixels: Column, n: int) -> Column:
-    return F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.lit(float(n))
+    """In single precision, summed pixel by pixel, as the hashes are defined; so does assetloom.sources.decode."""
+    return (F.aggregate(pixels, F.lit(0.0).cast("float"), lambda a, x: a + x.cast("float")) / F.lit(float(n))).cast("float")
 
 
 def _with_mean(pixels: Column, n: int, made: Callable[[Column], Column]) -> Column:
@@ -32,7 +33,7 @@ def threshold_bits(pixels: Column, least: Column, start: int = 0) -> Column:
     """64 bits: bit i is set where pixel start + i is above the mean."""
     one = F.array(*[F.lit(_bit(i)).cast("long") for i in range(64)])
     part = F.slice(pixels, start + 1, 64)
-    return F.aggregate(F.zip_with(part, one, lambda x, b: F.when(x.cast("double") > least, b).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.aggregate(F.zip_with(part, one, lambda x, b: F.when(x.cast("float") > least, b).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def phash64(pixels: Column) -> Column:
@@ -46,10 +47,10 @@ def phash1024(pixels: Column) -> Column:
 
 
 def sampled(pixels: Column, width: Column, height: Column) -> Column:
-    """64 pixels at integer steps of max(side, 8) / 8, clamped to the edge."""
-    w, h = F.greatest(width, F.lit(8)), F.greatest(height, F.lit(8))
-    at = lambda i, side, real: F.least(F.floor(F.lit(i) * side / 8).cast("int"), real - 1)
-    return F.array(*[F.get(pixels, (at(y, h, height) * width + at(x, w, width)).cast("int")) for y in range(8) for x in range(8)])
+    """64 pixels at steps of max(side, 8) / 8 whole pixels, clamped to the edge: what a side has beyond 8 steps isn't seen."""
+    step = lambda side: F.floor(F.greatest(side, F.lit(8)) / 8).cast("int")
+    at = lambda i, side: F.least(F.lit(i) * step(side), side - 1)
+    return F.array(*[F.get(pixels, (at(y, height) * width + at(x, width)).cast("int")) for y in range(8) for x in range(8)])
 
 
 def phash_fast(pixels: Column, width: Column, height: Column) -> Column:
@@ -113,14 +114,15 @@ def fallback(name: Column, size: Column, mtime: Column) -> Column:
 
 
 def target_size(w: Column, h: Column, longest: Column) -> tuple[Column, Column]:
-    """Width and height with the longer side at ``longest``."""
-    to = lambda a, b: F.round(a.cast("double") * longest / b).cast("int")
+    """Width and height with the longer side at ``longest``; worked out in single precision."""
+    single = lambda x: x.cast("float")
+    to = lambda a, b: F.round(single(single(a) * single(single(longest) / single(b)))).cast("int")
     return F.when(w > h, longest).otherwise(to(w, h)), F.when(w > h, to(h, w)).otherwise(longest)
 
 
 def resize_plan(w: Column, h: Column, size: Column) -> tuple[Column, Column]:
-    """Longest side and filter for large pictures; null where none is needed."""
-    mb = 1_000_000
-    side = F.when(size > 300 * mb, 768).when(size > 100 * mb, 896).when(F.greatest(w, h) > 1024, 1024)
-    kind = F.when(size > 300 * mb, "nearest").when(size > 100 * mb, "triangle").when(F.greatest(w, h) > 1024, "lanczos3")
+    """Longest side and filter for pictures beyond 1024 pixels, by the file's size; null where none is needed."""
+    mb, large = 1_000_000, F.greatest(w, h) > 1024
+    side = F.when(large, F.when(size > 300 * mb, 768).when(size > 100 * mb, 896).otherwise(1024))
+    kind = F.when(large, F.when(size > 300 * mb, "nearest").when(size > 100 * mb, "triangle").otherwise("lanczos3"))
     return side, kind

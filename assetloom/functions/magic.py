@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from assetloom.functions.paths import parent, stem
 
 # Signatures, brands of the HEIF family, and other extensions of the same format.
-SIGNATURES = (("jpeg", "FFD8FF"), ("png", "89504E47"), ("gif", "47494638"))
+SIGNATURES = (("jpg", "FFD8FF"), ("png", "89504E47"), ("gif", "47494638"))
 HEIF_BRANDS = ("ftyp", "heic", "heif", "mif1")
-ALIASES = {"jpeg": ("jpg", "jpeg", "jpe", "jfif"), "heic": ("heic", "heif")}
+ALIASES = {"jpg": ("jpg", "jpeg", "jpe", "jfif"), "heic": ("heic", "heif")}
 #: What the extension check looks at.
 CANDIDATES = ("jpg", "jpeg", "png", "gif", "webp", "heic", "heif", "tif", "tiff")
 

@@ -76,9 +76,9 @@ def depth(path: Column, root: str = "") -> Column:
 
 def image_name(path: Column) -> Column:
     """struct(image_name, transformation, parameter, file_type) of name_original, name_transform_index or
-    name_transform_parameter..._index; null for any other name."""
+    name_transform_parameter..._index; null for any other name, and for one without an extension."""
     part = F.split(stem(path), "_")
     n = F.size(part)
     made = lambda t, p: F.struct(part[0].alias("image_name"), t.alias("transformation"), p.alias("parameter"), lower_extension(path).alias("file_type"))
     none = F.lit(None).cast("string")
-    return F.when((n == 2) & (F.get(part, 1) == "original"), made(F.lit("original"), none)).when(n == 3, made(F.get(part, 1), none)).when(n > 3, made(F.get(part, 1), F.get(part, 2)))
+    return F.when(extension(path).isNull(), F.lit(None)).when((n == 2) & (F.get(part, 1) == "original"), made(F.lit("original"), none)).when(n == 3, made(F.get(part, 1), none)).when(n > 3, made(F.get(part, 1), F.get(part, 2)))

@@ -56,6 +56,20 @@ def eta_seconds(done: Column, total: Column, elapsed: Column, default_rate: floa
     return (total - done) / rate
 
 
+def progress_text(speed: Column, ok: Column, errors: Column, eta: Column) -> Column:
+    """The line of a run that goes on; eta in seconds, of which the whole ones count."""
+    return F.concat(F.format_string("%.1f img/s | %d ok | %d errors | ETA: ", speed, ok, errors), eta_text(F.floor(eta)))
+
+
+def finish_text(ok: Column, errors: Column, elapsed: Column, rate: Column) -> Column:
+    return F.format_string("Completed %d images | %d ok | %d errors | %.1fs elapsed | %.1f img/s", ok + errors, ok, errors, elapsed, rate)
+
+
+def rate(done: Column, elapsed: Column) -> Column:
+    """Pictures a second; 0 where nothing was done or no time went by."""
+    return F.when((elapsed > 0) & (done > 0), done / elapsed).otherwise(0.0)
+
+
 def level_at_least(level: Column, least: str) -> Column:
     return F.array_position(F.array(*map(F.lit, LEVELS)), F.lower(level)) >= LEVELS.index(least) + 1
 
@@ -84,9 +98,9 @@ def db_operation(operation: Column, details: Column) -> Column:
 
 
 def _cut(text: Column, at: str) -> tuple[Column, Column]:
-    """What stands before the first ``at`` (all without one), and after it (null without one)."""
-    place = F.instr(text, at)
-    return F.when(place > 0, F.substring(text, F.lit(1), place - 1)).otherwise(text), F.when(place > 0, F.substring(text, place + len(at), F.length(text)))
+    """What stands before the first ``at`` (all without one), and after it (null without one). at: no regular expression."""
+    part = F.split(text, at, 2)
+    return F.get(part, 0), F.get(part, 1)
 
 
 def parse_message(message: Column) -> Column:

@@ -16,26 +16,33 @@ def exact_groups(assets: DataFrame, digest: str = "digest") -> DataFrame:
     return assets.join(n, digest)
 
 
+#: The column that a rule looks at.
+NEEDS = {"highest_resolution": "pixels", "oldest_creation_date": "created", "smallest_file_size": "size", "largest_file_size": "size", "preferred_format": "format", "preferred_directory": "path"}
+
+
 def _term(rule: str, config: Config, columns: dict[str, str]) -> list[Column]:
     """Ascending sort terms; nulls come last."""
-    col = {k: F.col(v) for k, v in columns.items()}
-    if rule == "highest_resolution":
-        return [col["pixels"].isNull(), -col["pixels"]] if "pixels" in col else []
-    if rule == "oldest_creation_date":
-        return [col["created"].isNull(), col["created"]] if "created" in col else []
-    if rule in ("smallest_file_size", "largest_file_size"):
-        return [col["size"].isNull(), col["size"] if rule[0] == "s" else -col["size"]] if "size" in col else []
+    if NEEDS[rule] not in columns:
+        raise ValueError(f"{rule} needs a column for {NEEDS[rule]}")
+    col = F.col(columns[NEEDS[rule]])
+    if rule in ("highest_resolution", "largest_file_size"):
+        return [col.isNull(), -col]
+    if rule in ("oldest_creation_date", "smallest_file_size"):
+        return [col.isNull(), col]
     if rule == "preferred_format":
-        known = F.array(*map(F.lit, config.preferred_formats)) if config.preferred_formats else None
-        return [] if known is None or "format" not in col else [F.array_position(known, col["format"]) == 0, F.array_position(known, col["format"])]
+        if not config.preferred_formats:
+            return []
+        place = F.array_position(F.array(*map(F.lit, config.preferred_formats)), col)
+        return [F.coalesce(place, F.lit(0)) == 0, place]
     hits = F.lit(len(config.preferred_directories))
     for i, d in reversed(list(enumerate(config.preferred_directories))):
-        hits = F.when(col["path"].startswith(d.rstrip("/") + "/"), i).otherwise(hits)
+        hits = F.when(col.startswith(d.rstrip("/") + "/"), i).otherwise(hits)
     return [hits]
 
 
 def keepers(assets: DataFrame, path: str, columns: dict[str, str], config: Config | None = None, digest: str = "digest") -> DataFrame:
-    """digest, keeper and n for each group of two or more; ties go to the smallest path."""
+    """digest, keeper and n for each group of two or more; ties go to the smallest path. columns says where the rules find
+    pixels, size, created and format; a rule without its column is an error."""
     config = config or Config()
     terms = [t for r in config.prioritization for t in _term(r, config, columns | {"path": path})]
     key = F.struct(*[t.alias(f"k{i}") for i, t in enumerate(terms)], F.col(path).alias("keeper"))
@@ -52,6 +59,19 @@ def action_plan(assets: DataFrame, kept: DataFrame, path: str, config: Config |
     return rows.select(digest, F.col("keeper").alias("original_path"), F.col(path).alias("duplicate_path"), F.lit(kind).alias("action_type"), target.alias("target_path"), F.lit(config.dry_run).alias("dry_run"))
 
 
+def action_results(plan: DataFrame, present: DataFrame, path: str = "path") -> DataFrame:
+    """action_type, duplicate_path, original_path, success and error: what carrying out the plan would come to, given the
+    paths that are there. Of several duplicates with one target the smallest path has it. Nothing is carried out."""
+    there = present.select(F.col(path).cast("string").alias("there")).distinct()
+    out = plan
+    for name in ("original_path", "duplicate_path", "target_path"):
+        out = out.join(there.select(F.col("there").cast(plan.schema[name].dataType).alias(name), F.lit(True).alias(f"has_{name}")), name, "left")
+    first = plan.where("target_path is not null").groupBy("target_path").agg(F.min("duplicate_path").alias("first"))
+    error = F.when(F.col("has_original_path").isNull(), "original not found").when(F.col("has_duplicate_path").isNull(), "duplicate not found")
+    error = error.when(F.col("has_target_path") | (F.col("first") != F.col("duplicate_path")), "target exists")
+    return out.join(first, "target_path", "left").select("action_type", "duplicate_path", "original_path", error.isNull().alias("success"), error.alias("error"))
+
+
 def representative_pairs(assets: DataFrame, path: str, digest: str = "digest") -> DataFrame:
     """Each duplicate with its group's smallest path: all links of a group, without all its pairs."""
     first = assets.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(path).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -1,20 +1,28 @@
 """Near pairs of 64-bit hashes and their groups.
 
-Two hashes within t bits agree in one of t + 1 disjoint bands at least. Equal hashes are one class from the start, so
-that a value that many files share (flat pictures) makes no pairs with itself."""
+Hashes are cut into t + k bands; two within t bits agree in k of them at least. Each choice of k bands is a key, wide
+enough (as a power of two, the number of hashes) that hashes which aren't near seldom share one: candidates grow with
+the table, not with its square. Equal hashes are one class from the start, so that a value that many files share (flat
+pictures) makes no pairs with itself."""
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.hashing import hamming
 from assetloom.operators.components import components
 
+#: Keys of a hash at most; beyond, keys stay narrower.
+MOST_KEYS = 512
+
 
-def bands(h: Column, max_distance: int) -> list[Column]:
-    """max_distance + 1 bands of nearly equal width."""
-    n, out, at = max_distance + 1, [], 0
+def bands(h: Column, n: int) -> list[Column]:
+    """n bands of nearly equal width."""
+    out, at = [], 0
     for i in range(n):
         width = 64 // n + (i >= n - 64 % n)
         part = F.shiftrightunsigned(h, at)
@@ -23,17 +31,33 @@ def bands(h: Column, max_distance: int) -> list[Column]:
     return out
 
 
+def _long(x: int) -> Column:
+    return F.lit(x - 2**64 if x >= 2**63 else x).cast("long")
+
+
+def bands_in_key(max_distance: int, hashes: int) -> int:
+    """How many bands make a key: the fewest that tell so many hashes apart, as far as MOST_KEYS lets."""
+    k = 1
+    while k * 64 // (max_distance + k) < max(1, hashes).bit_length() and max_distance + k < 64 and math.comb(max_distance + k + 1, k + 1) <= MOST_KEYS:
+        k += 1
+    return k
+
+
 def near_hashes(hashes: DataFrame, max_distance: int, phash: str = "phash") -> DataFrame:
     """Distinct hashes a < b within max_distance, with distance."""
     if not 0 <= max_distance < 64:
         raise ValueError("max_distance lies between 0 and 63")
     one = hashes.where(F.col(phash).isNotNull()).select(F.col(phash).alias("h")).distinct()
-    cut = bands(F.col("h"), max_distance)
-    rows = one.select("h", F.inline(F.array(*[F.struct(F.lit(i).alias("band"), b.alias("value")) for i, b in enumerate(cut)])))
-    a, b = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
-    first = F.coalesce(*[F.when(x == y, i) for i, (x, y) in enumerate(zip(bands(F.col("a"), max_distance), bands(F.col("b"), max_distance), strict=True))])
-    # A pair comes from the first band in which it agrees, so no distinct is needed.
-    pairs = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (first == F.col("band")) & (hamming(F.col("a"), F.col("b")) <= max_distance))
+    k = bands_in_key(max_distance, one.count())
+    n = max_distance + k
+    keys = [F.struct(_long(sum(1 << i for i in c)).alias("which"), _long((2 << c[-1]) - 1).alias("upto"), F.xxhash64(*[F.get("cut", i) for i in c]).alias("value")) for c in itertools.combinations(range(n), k)]
+    rows = one.select("h", F.array(*bands(F.col("h"), n)).alias("cut")).select("h", F.inline(F.array(*keys)))
+    a, b = rows.withColumnRenamed("h", "a"), rows.select("which", "value", F.col("h").alias("b"))
+    agree = F.lit(0).cast("long")
+    for i, (x, y) in enumerate(zip(bands(F.col("a"), n), bands(F.col("b"), n), strict=True)):
+        agree = agree.bitwiseOR(F.when(x == y, _long(1 << i)).otherwise(_long(0)))
+    # A pair comes from the first k bands in which it agrees, so no distinct is needed; this also drops what only shares a hash.
+    pairs = a.join(b, ["which", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= max_distance) & (agree.bitwiseAND(F.col("upto")) == F.col("which")))
     return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 

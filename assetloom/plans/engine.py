@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,33 +11,50 @@ from assetloom.config import Config
 from assetloom.functions import magic, paths
 from assetloom.operators import dedup, similarity, store
 from assetloom.sources.catalog import catalog
-from assetloom.sources.decode import hashed, split
+from assetloom.sources.decode import hashed, split, with_pictures
+from assetloom.sources.pictures import pictures
+
+
+#: What the settings' levels are to Python's logging.
+LOG_LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR}
 
 
 class Engine:
+    """Steps are logged to the logger ``assetloom``, from the level of the settings on."""
+
     def __init__(self, spark: SparkSession, store_root: str, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
         self.store = store.HashStore(spark, f"{store_root.rstrip('/')}/{self.config.database_name}")
+        self.roots: list[str] = []
+        self.log = logging.getLogger("assetloom")
+        self.log.setLevel(LOG_LEVELS[self.config.log_level])
+        self.skipped = store.SkipList(spark, f"{store_root.rstrip('/')}/{self.config.database_name}_skipped")
         if self.config.reinitialise_database:
             self.store.reinitialise()
 
     def discover(self, roots: list[str]) -> DataFrame:
-        c = self.config
+        c, self.roots = self.config, roots
         return catalog(self.spark, roots, c.max_depth, c.process_unsupported_formats, c.excluded_directories)
 
     def hash_and_persist(self, assets: DataFrame, skip: DataFrame | None = None, **how) -> tuple[int, DataFrame]:
-        """Hashes what the store lacks. Returns the store's version and the rejects, whose timeouts make the next skip list."""
+        """Hashes what the store lacks, but for the skip list. Returns the store's version and the rejects, whose timeouts are
+        kept in the skip list."""
         todo = store.new_assets(assets.dropDuplicates(["path"]), self.store.read(), force_rescan=self.config.force_rescan)
-        if skip is not None:
-            todo = store.without_skipped(todo, skip)
-        rows = hashed(todo, **how).checkpoint()  # files are read once
+        todo = store.without_skipped(todo, self.skipped.read() if skip is None else skip)
+        rows = hashed(todo, **how)
+        if self.roots:
+            rows = with_pictures(rows, pictures(self.spark, self.roots, how.get("enhanced", False)))
+        rows = rows.checkpoint()  # files are read once
         good, rejects = split(rows)
-        return self.store.upsert(good), rejects
+        self.skipped.add(rejects)
+        version = self.store.upsert(good)
+        self.log.info("store version %d: %s", version, {r["stage"] or "ok": r["n"] for r in rows.groupBy("stage").agg(F.count("*").alias("n")).collect()})
+        return version, rejects
 
     def duplicates(self, assets: DataFrame) -> DataFrame:
         """The action plan for files of equal digest."""
         both = assets.join(self.store.read(), "path")
-        columns = {"size": "size", "created": "created", "format": "format"}
+        columns = {"size": "size", "created": "created", "format": "format", "pixels": "pixels"}
         return dedup.action_plan(both, dedup.keepers(both, "path", columns, self.config), "path", self.config)
 
     def near_duplicates(self, max_distance: int | None = None) -> DataFrame:

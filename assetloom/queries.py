@@ -17,6 +17,7 @@ from assetloom.functions import paths as P
 from assetloom.functions import records as R
 from assetloom.operators import dedup, similarity, store
 
+LARGEST = Config(prioritization=("largest_file_size",))
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -60,7 +61,28 @@ _KEEPER = "SELECT sha256(text) AS digest, doc_id, octet_length(encode(text))::BI
 
 @_query(f"SELECT digest, doc_id AS keeper, n FROM ({_KEEPER}) WHERE n > 1 AND rn = 1")
 def q_keeper(spark, d):
-    return dedup.keepers(_assets(spark, d), "doc_id", {"size": "size"})
+    return dedup.keepers(_assets(spark, d), "doc_id", {"size": "size"}, LARGEST)
+
+
+_DEFAULT = "SELECT sha256(text) AS digest, doc_id, count(*) OVER (PARTITION BY text) AS n, row_number() OVER (PARTITION BY text ORDER BY CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 END DESC NULLS LAST, octet_length(encode(text)) DESC, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 END NULLS LAST, doc_id) AS rn FROM documents"
+
+
+@_query(f"SELECT digest, doc_id AS keeper, n FROM ({_DEFAULT}) WHERE n > 1 AND rn = 1")
+def q_keeper_default(spark, d):
+    """The default order: resolution, size, age; some rows know neither resolution nor age."""
+    rows = _assets(spark, d).withColumns({"pixels": F.expr("case when doc_id % 3 > 0 then doc_id % 5 end"), "created": F.expr("case when doc_id % 7 > 0 then doc_id % 2 end")})
+    return dedup.keepers(rows, "doc_id", {"size": "size", "pixels": "pixels", "created": "created"})
+
+
+@_query(
+    f"WITH k AS ({_KEEPER}), p AS (SELECT a.doc_id AS original_path, b.doc_id AS duplicate_path FROM k b JOIN k a ON a.digest = b.digest AND a.rn = 1 WHERE b.rn > 1), h AS (SELECT doc_id FROM documents WHERE doc_id % 4 > 0) "
+    "SELECT 'delete' AS action_type, duplicate_path, original_path, error IS NULL AS success, error FROM (SELECT *, CASE WHEN original_path NOT IN (SELECT doc_id FROM h) THEN 'original not found' WHEN duplicate_path NOT IN (SELECT doc_id FROM h) THEN 'duplicate not found' END AS error FROM p)"
+)
+def q_action_result(spark, d):
+    assets = _assets(spark, d)
+    config = Config(prioritization=("largest_file_size",), delete_duplicates=True, create_symlinks=True)
+    plan = dedup.action_plan(assets, dedup.keepers(assets, "doc_id", {"size": "size"}, config), "doc_id", config)
+    return dedup.action_results(plan, assets.where("doc_id % 4 > 0"), "doc_id")
 
 
 @_query(
@@ -69,7 +91,7 @@ def q_keeper(spark, d):
 )
 def q_action_plan(spark, d):
     assets = _assets(spark, d)
-    return dedup.action_plan(assets, dedup.keepers(assets, "doc_id", {"size": "size"}), "doc_id")
+    return dedup.action_plan(assets, dedup.keepers(assets, "doc_id", {"size": "size"}, LARGEST), "doc_id")
 
 
 @_query(
@@ -95,9 +117,9 @@ def q_fallback(spark, d):
 
 # ---- perceptual hashes ----
 
-_BITS = "list_sum(list_transform(range(0, 64), lambda i: CASE WHEN px[i + 1]::DOUBLE > m THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END))::HUGEINT::UBIGINT"
+_BITS = "list_sum(list_transform(range(0, 64), lambda i: CASE WHEN px[i + 1]::FLOAT > m THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END))::HUGEINT::UBIGINT"
 _HEX = "lower(lpad(to_hex({}), 16, '0'))"
-_ONE = f"SELECT vec_id, {_BITS} AS h FROM (SELECT vec_id, embedding AS px, list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, x: a + x) / 64 AS m FROM embeddings)"
+_ONE = f"SELECT vec_id, {_BITS} AS h FROM (SELECT vec_id, embedding AS px, (list_reduce(list_transform(embedding, lambda x: x::FLOAT), lambda a, x: (a + x)::FLOAT) / 64::FLOAT)::FLOAT AS m FROM embeddings)"
 
 
 def _hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -110,13 +132,13 @@ def q_phash64(spark, d):
 
 
 def _grids(spark: SparkSession, d: str) -> DataFrame:
-    """32 x 32 pictures of sixteen vectors each."""
-    rows = _t(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 16).cast("long").alias("image")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"), F.count("*").alias("n"))
-    return rows.where("n = 16").select("image", F.flatten(F.col("rows.embedding")).alias("px"))
+    """32 x 32 pictures of sixteen vectors each; the last one may end in black."""
+    rows = _t(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 16).cast("long").alias("image")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
+    return rows.select("image", F.slice(F.concat(F.flatten(F.col("rows.embedding")), F.array_repeat(F.lit(0.0).cast("float"), 1024)), 1, 1024).alias("px"))
 
 
-_GRID = "SELECT image, flatten(list(embedding ORDER BY vec_id)) AS px FROM (SELECT vec_id // 16 AS image, vec_id, embedding FROM embeddings) GROUP BY image HAVING count(*) = 16"
-_GRID_M = f"SELECT image, px, list_reduce(list_transform(px, lambda x: x::DOUBLE), lambda a, x: a + x) / 1024 AS m FROM ({_GRID})"
+_GRID = "SELECT image, list_resize(flatten(list(embedding::FLOAT[] ORDER BY vec_id)), 1024, 0::FLOAT) AS px FROM (SELECT vec_id // 16 AS image, vec_id, embedding FROM embeddings) GROUP BY image"
+_GRID_M = f"SELECT image, px, (list_reduce(list_transform(px, lambda x: x::FLOAT), lambda a, x: (a + x)::FLOAT) / 1024::FLOAT)::FLOAT AS m FROM ({_GRID})"
 
 
 @_query(f"SELECT image, s::INTEGER AS word, {_HEX.format(_BITS)} AS phash FROM (SELECT image, s, px[s * 64 + 1 : s * 64 + 64] AS px, m FROM ({_GRID_M}), range(0, 16) t(s))")
@@ -125,18 +147,25 @@ def q_phash1024(spark, d):
     return words.select("image", "word", H.hex16(F.col("h")).alias("phash"))
 
 
-_FAST = f"SELECT image, list_transform(range(0, 64), lambda k: px[(k // 8) * 4 * 32 + (k % 8) * 4 + 1]) AS px FROM ({_GRID})"
+# Sides that 8 divides, sides that it doesn't, and one below 8. A step is a whole number of pixels.
+_SIDES = ((32, 32), (20, 51), (7, 146))
+_FAST = (
+    "SELECT image, w, list_transform(range(0, 64), lambda k: px[least((k // 8) * (greatest(h, 8) // 8), h - 1) * w + least((k % 8) * (greatest(w, 8) // 8), w - 1) + 1]) AS px "
+    f"FROM ({_GRID}), (VALUES {', '.join(map(str, _SIDES))}) s(w, h)"
+)
 
 
-@_query(f"SELECT image, {_HEX.format(_BITS)} AS phash FROM (SELECT image, px, list_reduce(list_transform(px, lambda x: x::DOUBLE), lambda a, x: a + x) / 64 AS m FROM ({_FAST}))")
+@_query(f"SELECT image, w::INTEGER AS width, {_HEX.format(_BITS)} AS phash FROM (SELECT image, w, px, (list_reduce(list_transform(px, lambda x: x::FLOAT), lambda a, x: (a + x)::FLOAT) / 64::FLOAT)::FLOAT AS m FROM ({_FAST}))")
 def q_phash_fast(spark, d):
-    return _grids(spark, d).select("image", H.hex16(H.phash_fast(F.col("px"), F.lit(32), F.lit(32))).alias("phash"))
+    sides = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in _SIDES])).alias("side")
+    return _grids(spark, d).select("image", "px", sides).select("image", F.col("side.w").alias("width"), H.hex16(H.phash_fast(F.col("px"), F.col("side.w"), F.col("side.h"))).alias("phash"))
 
 
-@_query("SELECT vec_id, 0.299::DOUBLE * embedding[1]::DOUBLE + 0.587::DOUBLE * embedding[2]::DOUBLE + 0.114::DOUBLE * embedding[3]::DOUBLE AS luma FROM embeddings")
+@_query("SELECT vec_id, k::INTEGER AS pixel, 0.299::DOUBLE * embedding[3 * k + 1]::DOUBLE + 0.587::DOUBLE * embedding[3 * k + 2]::DOUBLE + 0.114::DOUBLE * embedding[3 * k + 3]::DOUBLE AS luma FROM embeddings, range(0, 21) t(k)")
 def q_luma(spark, d):
-    e = F.col("embedding")
-    return _t(spark, d, "embeddings").select("vec_id", H.luma(e[0].cast("double"), e[1].cast("double"), e[2].cast("double")).alias("luma"))
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("pixel"))
+    e = [F.get("embedding", 3 * F.col("pixel") + i).cast("double") for i in range(3)]
+    return rows.select("vec_id", "pixel", H.luma(*e).alias("luma"))
 
 
 _NEXT = f"WITH h AS ({_ONE}) SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1"
@@ -178,9 +207,13 @@ def q_near_pairs(spark, d):
     return similarity.near_hashes(_family(spark, d), 6).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), "distance")
 
 
-@_query("SELECT vec_id * 16 + k AS asset, vec_id * 16 AS label FROM embeddings, (VALUES (0), (3), (15)) t(k)")
+@_query(
+    f"WITH RECURSIVE f AS ({_FAMILY}), u AS (SELECT phash, min(asset) AS least FROM f GROUP BY phash), "
+    "e AS (SELECT a.phash AS a, b.phash AS b FROM u a JOIN u b ON a.phash <> b.phash WHERE bit_count(xor(a.phash, b.phash)) <= 3), "
+    "r AS (SELECT phash AS a, phash AS b FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) "
+    "SELECT f.asset, l.label FROM f JOIN (SELECT r.a, min(u.least) AS label FROM r JOIN u ON u.phash = r.b GROUP BY r.a) l ON l.a = f.phash"
+)
 def q_near_groups(spark, d):
-    """Families are apart by more than the threshold on these tables, which the SQL relies on."""
     f = _family(spark, d)
     return similarity.near_groups(f, similarity.near_hashes(f, 3), "asset")
 
@@ -247,6 +280,24 @@ def q_upsert(spark, d):
     return store.latest(rows, ["user_id", "event_type"], ["ts", "event_id"])
 
 
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'old' END AS digest, CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE doc_id END AS phash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def q_store_upsert(spark, d):
+    """A store of every other document, then a batch of every third, each twice; the later row of a path stays."""
+    import uuid
+
+    from assetloom.sources.folders import shared_dir
+
+    held = store.HashStore(spark, f"{shared_dir(spark)}/q_store_upsert-{uuid.uuid4().hex}", ranges=8)
+    none = [F.lit(None).cast("array<bigint>").alias("phash_enh"), F.lit(False).alias("phash_is_fallback"), F.lit(None).cast("long").alias("pixels")]
+    rows = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text", "n_chars")
+    held.upsert(rows.where("doc_id % 2 = 0").select("path", F.encode(F.lit("old"), "utf-8").alias("digest"), F.col("doc_id").alias("phash"), *none))
+    third = rows.where("doc_id % 3 = 0")
+    first = third.select("path", F.encode(F.lit("zzz"), "utf-8").alias("digest"), F.lit(0).cast("long").alias("phash"), *none, F.lit(1).alias("turn"))
+    last = third.select("path", F.encode(F.sha2("text", 256), "utf-8").alias("digest"), F.col("n_chars").alias("phash"), *none, F.lit(2).alias("turn"))
+    held.upsert(last.union(first), "turn")
+    return held.read().select(F.col("path").cast("long").alias("doc_id"), F.decode("digest", "utf-8").alias("digest"), "phash")
+
+
 @_query("SELECT 'pc:' || doc_id AS key, sha256(text) AS value FROM documents UNION ALL SELECT 'pp:' || doc_id, lower(lpad(to_hex(n_chars::UBIGINT), 16, '0')) FROM documents")
 def q_key_value(spark, d):
     rows = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.unhex(F.sha2("text", 256)).alias("digest"), F.col("n_chars").alias("phash"), F.lit(None).cast("array<bigint>").alias("phash_enh"))
@@ -257,6 +308,7 @@ def q_key_value(spark, d):
 
 _LEAF = "string_split(url, '/')[-1]"
 _EXT = f"nullif(regexp_extract({_LEAF}, '^.+\\.([^.]*)$', 1), '')"
+# Fixed values, as in assetloom.functions.paths: file extensions by format.
 _FORMATS = "CASE WHEN lower({0}) IN ('raw','dng','cr2','nef','arw','orf','rw2','nrw','raf','crw','pef','srw','x3f','rwl','3fr') THEN 'raw' WHEN lower({0}) IN ('jpg','jpeg') THEN 'jpeg' WHEN lower({0}) = 'png' THEN 'png' WHEN lower({0}) IN ('tif','tiff') THEN 'tiff' WHEN lower({0}) = 'heic' THEN 'heic' WHEN {0} IS NOT NULL THEN 'other' END"
 
 
@@ -306,12 +358,12 @@ _HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "00000018667479706D696
 
 def _bytes(spark: SparkSession, d: str) -> DataFrame:
     head = F.unhex(F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("page_id") % len(_HEADS)).cast("int") + 1))
-    name = F.concat(F.lit("/p/"), F.col("page_id"), F.element_at(F.array(*map(F.lit, (".jpg", ".png", ".jpeg", ".heif", ".webp"))), (F.col("page_id") % 5).cast("int") + 1))
+    name = F.concat(F.lit("/p/"), (F.col("page_id") - F.col("page_id") % 2).cast("string"), F.element_at(F.array(*map(F.lit, (".jpg", ".png", ".jpeg", ".heif", ".webp"))), (F.col("page_id") % 5).cast("int") + 1))
     return _t(spark, d, "pages").select("page_id", name.alias("path"), F.concat(head, F.encode("html", "utf-8")).alias("content"))
 
 
-_BYTES = f"SELECT page_id, '/p/' || page_id || (['.jpg','.png','.jpeg','.heif','.webp'])[page_id % 5 + 1] AS path, ({list(_HEADS)})[page_id % {len(_HEADS)} + 1] || hex(encode(html)) AS x FROM pages"
-_MAGIC = "CASE WHEN x[9:16] IN ('66747970','68656963','68656966','6D696631') THEN 'heic' WHEN starts_with(x, 'FFD8FF') THEN 'jpeg' WHEN starts_with(x, '89504E47') THEN 'png' WHEN starts_with(x, '47494638') THEN 'gif' WHEN starts_with(x, '52494646') AND x[17:24] = '57454250' THEN 'webp' END"
+_BYTES = f"SELECT page_id, '/p/' || (page_id - page_id % 2) || (['.jpg','.png','.jpeg','.heif','.webp'])[page_id % 5 + 1] AS path, ({list(_HEADS)})[page_id % {len(_HEADS)} + 1] || hex(encode(html)) AS x FROM pages"
+_MAGIC = "CASE WHEN x[9:16] IN ('66747970','68656963','68656966','6D696631') THEN 'heic' WHEN starts_with(x, 'FFD8FF') THEN 'jpg' WHEN starts_with(x, '89504E47') THEN 'png' WHEN starts_with(x, '47494638') THEN 'gif' WHEN starts_with(x, '52494646') AND x[17:24] = '57454250' THEN 'webp' END"
 
 
 @_query(f"SELECT page_id, {_MAGIC} AS format, coalesce(x[9:16] IN ('66747970','68656963','68656966','6D696631'), false) AS is_heic FROM ({_BYTES})")
@@ -320,10 +372,10 @@ def q_magic(spark, d):
     return _bytes(spark, d).select("page_id", M.format_by_magic(c).alias("format"), M.is_heic(c).alias("is_heic"))
 
 
-_PLAN = f"SELECT *, CASE WHEN format IS NULL THEN 'unknown' WHEN ext = format OR (format = 'jpeg' AND ext IN ('jpg','jpeg')) OR (format = 'heic' AND ext IN ('heic','heif')) THEN 'ok' ELSE 'mismatch' END AS status FROM (SELECT page_id, path AS old_path, {_MAGIC} AS format, string_split(path, '.')[-1] AS ext FROM ({_BYTES}))"
+_PLAN = f"SELECT *, CASE WHEN format IS NULL THEN 'unknown' WHEN ext = format OR (format = 'jpg' AND ext IN ('jpg','jpeg','jpe','jfif')) OR (format = 'heic' AND ext IN ('heic','heif')) THEN 'ok' ELSE 'mismatch' END AS status FROM (SELECT page_id, path AS old_path, {_MAGIC} AS format, string_split(path, '.')[-1] AS ext FROM ({_BYTES}))"
 
 
-@_query(f"SELECT old_path, format, CASE WHEN status = 'mismatch' THEN '/p/' || page_id || '.' || format END AS new_path, status, false AS blocked FROM ({_PLAN})")
+@_query(f"SELECT old_path, format, CASE WHEN status = 'mismatch' THEN new_path END AS new_path, status, coalesce(status = 'mismatch' AND new_path IN (SELECT path FROM ({_BYTES})), false) AS blocked FROM (SELECT *, string_split(old_path, '.')[1] || '.' || format AS new_path FROM ({_PLAN}))")
 def q_suffix_mismatch(spark, d):
     from assetloom.plans.engine import suffix_plan
 
@@ -347,12 +399,12 @@ def q_validate(spark, d):
     return rows.select("doc_id", R.size_class(s, F.col("lang")).alias("size_class"), R.file_mb(s).alias("file_mb"), R.memory_mb(s).alias("memory_mb"))
 
 
-_SIDE = "CASE WHEN s > 300000000 THEN 768 WHEN s > 100000000 THEN 896 WHEN greatest(w, h) > 1024 THEN 1024 END"
+_SIDE = "CASE WHEN greatest(w, h) > 1024 THEN CASE WHEN s > 300000000 THEN 768 WHEN s > 100000000 THEN 896 ELSE 1024 END END"
 
 
 @_query(
-    f"SELECT o_orderkey, side, kind, CASE WHEN w > h THEN side ELSE round(w::DOUBLE * side / h)::INTEGER END AS width, CASE WHEN w > h THEN round(h::DOUBLE * side / w)::INTEGER ELSE side END AS height FROM (SELECT o_orderkey, w, h, {_SIDE} AS side, "
-    "CASE WHEN s > 300000000 THEN 'nearest' WHEN s > 100000000 THEN 'triangle' WHEN greatest(w, h) > 1024 THEN 'lanczos3' END AS kind FROM (SELECT o_orderkey, (o_custkey % 4000 + 1)::INTEGER AS w, (o_orderkey % 3000 + 1)::INTEGER AS h, (o_totalprice * 1000)::BIGINT AS s FROM orders))"
+    f"SELECT o_orderkey, side, kind, CASE WHEN w > h THEN side ELSE round((w::FLOAT * (side::FLOAT / h::FLOAT)::FLOAT)::FLOAT)::INTEGER END AS width, CASE WHEN w > h THEN round((h::FLOAT * (side::FLOAT / w::FLOAT)::FLOAT)::FLOAT)::INTEGER ELSE side END AS height FROM (SELECT o_orderkey, w, h, {_SIDE} AS side, "
+    "CASE WHEN greatest(w, h) > 1024 THEN CASE WHEN s > 300000000 THEN 'nearest' WHEN s > 100000000 THEN 'triangle' ELSE 'lanczos3' END END AS kind FROM (SELECT o_orderkey, (o_custkey % 4000 + 1)::INTEGER AS w, (o_orderkey % 3000 + 1)::INTEGER AS h, (o_totalprice * 1000)::BIGINT AS s FROM orders))"
 )
 def q_resize_plan(spark, d):
     rows = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4000 + 1).cast("int").alias("w"), (F.col("o_orderkey") % 3000 + 1).cast("int").alias("h"), F.round(F.col("o_totalprice") * 1000).cast("long").alias("s"))
@@ -427,13 +479,13 @@ def q_log_level(spark, d):
     return _messages(spark, d).where(R.level_at_least(F.col("level"), "warn")).select("event_id", "level")
 
 
-_PARTS = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '_original.JPG' WHEN 1 THEN p_name || '_resize_800x600_1.jpg' WHEN 2 THEN p_name || '_crop_9.jpg' ELSE p_name || '_odd.png' END AS leaf FROM (SELECT p_partkey, replace(p_name, '_', '-') AS p_name FROM part)"
-_PARSED = f"SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE string_split(leaf, '_')[1] END AS image_name, CASE p_partkey % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'resize' WHEN 2 THEN 'crop' END AS transformation, CASE p_partkey % 4 WHEN 1 THEN '800x600' END AS parameter, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE 'jpg' END AS file_type FROM ({_PARTS})"
+_PARTS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN p_name || '_original' WHEN 0 THEN p_name || '_original.JPG' WHEN 1 THEN p_name || '_resize_800x600_1.jpg' WHEN 2 THEN p_name || '_crop_9.jpg' ELSE p_name || '_odd.png' END AS leaf FROM (SELECT p_partkey, replace(p_name, '_', '-') AS p_name FROM part)"
+_PARSED = f"SELECT p_partkey, CASE WHEN p_partkey % 5 >= 3 THEN NULL ELSE string_split(leaf, '_')[1] END AS image_name, CASE p_partkey % 5 WHEN 0 THEN 'original' WHEN 1 THEN 'resize' WHEN 2 THEN 'crop' END AS transformation, CASE p_partkey % 5 WHEN 1 THEN '800x600' END AS parameter, CASE WHEN p_partkey % 5 >= 3 THEN NULL ELSE 'jpg' END AS file_type FROM ({_PARTS})"
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
-    ends = F.array(*map(F.lit, ("_original.JPG", "_resize_800x600_1.jpg", "_crop_9.jpg", "_odd.png")))
-    name = F.concat(F.replace(F.col("p_name"), F.lit("_"), F.lit("-")), F.element_at(ends, (F.col("p_partkey") % 4).cast("int") + 1))
+    ends = F.array(*map(F.lit, ("_original.JPG", "_resize_800x600_1.jpg", "_crop_9.jpg", "_odd.png", "_original")))
+    name = F.concat(F.replace(F.col("p_name"), F.lit("_"), F.lit("-")), F.element_at(ends, (F.col("p_partkey") % 5).cast("int") + 1))
     return _t(spark, d, "part").select("p_partkey", P.image_name(name).alias("i")).select("p_partkey", "i.*")
 
 
@@ -457,11 +509,28 @@ def q_registry_distinct(spark, d):
     return _registry(spark, d).where("transformation is not null").select("transformation", "file_type").distinct()
 
 
-@_query("SELECT event_type, n, floor(epoch(last))::BIGINT - floor(epoch(first))::BIGINT AS elapsed, CASE WHEN floor(epoch(last))::BIGINT > floor(epoch(first))::BIGINT THEN (100000 - n) / (n::DOUBLE / (floor(epoch(last))::BIGINT - floor(epoch(first))::BIGINT)) ELSE (100000 - n) / 25.0::DOUBLE END AS eta FROM (SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY event_type)")
+_PROGRESS = "SELECT event_type, n, floor(epoch(last))::BIGINT - floor(epoch(first))::BIGINT AS elapsed, CASE WHEN floor(epoch(last))::BIGINT > floor(epoch(first))::BIGINT THEN n::DOUBLE / (floor(epoch(last))::BIGINT - floor(epoch(first))::BIGINT) ELSE 25.0::DOUBLE END AS speed FROM (SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY event_type)"
+
+
+@_query(
+    "SELECT event_type, n, elapsed, (100000 - n) / speed AS eta, printf('%.1f img/s | %d ok | 0 errors | ETA: ', speed, n) || CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' END AS line "
+    f"FROM (SELECT *, floor((100000 - n) / speed)::BIGINT AS s FROM ({_PROGRESS}))"
+)
 def q_progress(spark, d):
     at = lambda f: F.unix_seconds(f("ts").cast("timestamp"))
     rows = _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), (at(F.max) - at(F.min)).alias("elapsed"))
-    return rows.select("event_type", "n", "elapsed", R.eta_seconds(F.col("n"), F.lit(100_000), F.col("elapsed")).alias("eta"))
+    rows = rows.withColumn("eta", R.eta_seconds(F.col("n"), F.lit(100_000), F.col("elapsed")))
+    speed = F.when(F.col("elapsed") > 0, R.rate(F.col("n"), F.col("elapsed"))).otherwise(25.0)
+    return rows.select("event_type", "n", "elapsed", "eta", R.progress_text(speed, F.col("n"), F.lit(0), F.col("eta")).alias("line"))
+
+
+@_query("SELECT event_id, max(value) OVER w AS peak, value - first_value(value) OVER w AS change FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def q_peak_memory(spark, d):
+    """Of each run (a user's events of one type): the highest measure so far, and the change since the first."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _t(spark, d, "events").select("event_id", F.max("value").over(w).alias("peak"), (F.col("value") - F.first("value").over(w)).alias("change"))
 
 
 @_query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS ok, count(*) FILTER (WHERE NOT value > 50) AS rejected, (count(*) + 99) // 100 AS batches FROM events GROUP BY event_type")

@@ -1,7 +1,7 @@
 """Files to digests and perceptual hashes, with a row for every file that fails.
 
-PNG is decoded here (all colour types and depths but interlaced pictures); other formats need a decoder that is given as
-a function of bytes. A JPEG that can't be decoded is tried again from each of its start marks; if none works it gets
+PNG is decoded here (all colour types and depths but interlaced pictures); JPEG and TIFF are decoded by the JVM where the
+engine knows the folders (assetloom.sources.pictures); other formats need a decoder that is given as a function of bytes. A JPEG that can't be decoded is tried again from each of its start marks; if none works it gets
 the fallback hash, which is flagged."""
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Decoder = Callable[[bytes], np.ndarray]  # to height x width x 3, 8 bits
-SCHEMA = "path string, digest binary, phash bigint, phash_enh array<bigint>, phash_is_fallback boolean, stage string, error_class string, error_message string"
+SCHEMA = "path string, digest binary, phash bigint, phash_enh array<bigint>, phash_is_fallback boolean, pixels bigint, stage string, error_class string, error_message string"
 PNG_MARK, JPEG_MARK = b"\x89PNG\r\n\x1a\n", b"\xff\xd8"
 
 
@@ -116,6 +117,48 @@ def phash_words(picture: np.ndarray) -> list[int]:
     return [word(g[64 * s : 64 * s + 64], m) for s in range(16)]
 
 
+#: Filters for shrinking: how far they reach, and their weights.
+FILTERS = {"triangle": (1.0, lambda x: np.maximum(0.0, 1 - np.abs(x))), "lanczos3": (3.0, lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0))}
+
+
+def _weights(n: int, real: int, kind: str) -> np.ndarray:
+    """A row of weights over the ``real`` pixels of a side for each of the n that it shrinks to."""
+    reach, weight = FILTERS[kind]
+    step = real / n
+    wide = max(step, 1.0)
+    x = (np.arange(real)[None, :] + 0.5 - ((np.arange(n) + 0.5) * step)[:, None]) / wide
+    w = np.where(np.abs(x) <= reach, weight(x), 0.0)
+    return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def resized(picture: np.ndarray, w: int, h: int, kind: str) -> np.ndarray:
+    if kind == "nearest":
+        return nearest(picture, w, h)
+    out = np.einsum("ab,bcd->acd", _weights(h, picture.shape[0], kind), picture.astype(np.float32), optimize=True)
+    out = np.einsum("ab,cbd->cad", _weights(w, picture.shape[1], kind), out, optimize=True)
+    return np.clip(np.round(out), 0, 255).astype(np.uint8)
+
+
+def shrunk(picture: np.ndarray, longest: int, kind: str) -> np.ndarray:
+    """A picture beyond 1024 pixels with its longer side at ``longest``; others as they are."""
+    h, w = picture.shape[:2]
+    if max(h, w) <= 1024:
+        return picture
+    to = lambda a, b: max(1, int(np.floor(np.float32(a) * (np.float32(longest) / np.float32(b)) + np.float32(0.5))))
+    return resized(picture, longest, to(h, w), kind) if w > h else resized(picture, to(w, h), longest, kind)
+
+
+def phash_large(picture: np.ndarray, size: int) -> int:
+    """The 64-bit hash of a picture that may be beyond 1024 pixels, shrunk first; the file's size tells how."""
+    longest, kind = (768, "nearest") if size > 300_000_000 else (896, "triangle") if size > 100_000_000 else (1024, "lanczos3")
+    return phash(shrunk(picture, longest, kind))
+
+
+def phash_enhanced(picture: np.ndarray, format_: str) -> int | list[int]:
+    """The long hash, of large pictures after shrinking; the 64-bit one for formats that have no long one."""
+    return phash(picture) if format_ in ("heic", "tiff", "raw") else phash_words(shrunk(picture, 1024, "lanczos3"))
+
+
 def fallback(path: str, size: int, mtime: float) -> int:
     return int.from_bytes(hashlib.sha256(f"{os.path.basename(path)}\0{size}\0{int(mtime)}".encode()).digest()[:8], "big", signed=True)
 
@@ -131,6 +174,21 @@ def recovered(data: bytes, decode: Decoder) -> np.ndarray | None:
     return None
 
 
+class HashCache:
+    """Hashes by path, worked out once; emptied when it holds ``most``. For functions that hash pictures one by one."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, {}
+
+    def get(self, path: str, hash_: Callable[[str], object]) -> object:
+        if path not in self.held:
+            found = hash_(path)
+            if len(self.held) >= self.most:
+                self.held.clear()
+            self.held[path] = found
+        return self.held[path]
+
+
 class TimedOutError(Exception):
     pass
 
@@ -154,11 +212,14 @@ def within(seconds: float, fn: Callable, *args):
 
 def hash_file(path: str, format_: str, decoders: dict[str, Decoder], digest: Callable[[bytes], bytes], seconds: tuple[float, float], enhanced: bool) -> tuple:
     """One row of SCHEMA. The perceptual hash is tried only after the digest."""
-    fail = lambda stage, e, d=None: (path, d, None, None, None, stage, type(e).__name__, str(e)[:500])
+    fail = lambda stage, e, d=None: (path, d, None, None, None, None, stage, type(e).__name__, str(e)[:500])
     try:
         size = os.path.getsize(path)
-        if size == 0:
-            return fail("validate", ValueError("empty file"))
+    except OSError as e:
+        return fail("validate", e)
+    if size == 0:
+        return fail("validate", ValueError("empty file"))
+    try:
         with open(path, "rb") as f:
             data = f.read()
         d = within(seconds[0], digest, data)
@@ -171,10 +232,10 @@ def hash_file(path: str, format_: str, decoders: dict[str, Decoder], digest: Cal
         if format_ == "jpeg":
             picture = within(seconds[1], recovered, data, decode) if decode else None
             if picture is None:
-                return path, d, fallback(path, size, os.path.getmtime(path)), None, True, None, None, None
+                return path, d, fallback(path, size, os.path.getmtime(path)), None, True, None, None, None, None
         else:
             picture = within(seconds[1], decode, data)
-        return path, d, phash(picture), phash_words(picture) if enhanced else None, flagged, None, None, None
+        return path, d, phash(picture), phash_words(picture) if enhanced else None, flagged, picture.shape[0] * picture.shape[1], None, None, None
     except Exception as e:
         return fail("phash", e, d)
 
@@ -186,15 +247,28 @@ def hashed(catalog: DataFrame, decoders: dict[str, Decoder] | None = None, diges
 
     known, how = {"png": png} | (decoders or {}), digest or blake3
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [hash_file(path, f, known, how, (DIGEST_SECONDS.get(f, DIGEST_SECONDS[""]), PHASH_SECONDS.get(f, PHASH_SECONDS[""])), enhanced) for path, f in zip(p["path"], p["format"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"phash": "Int64", "phash_is_fallback": "boolean"})
+    kinds = {"binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [c.split() for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [hash_file(path, f, known, how, (DIGEST_SECONDS.get(f, DIGEST_SECONDS[""]), PHASH_SECONDS.get(f, PHASH_SECONDS[""])), enhanced) for path, f in zip(b["path"].to_pylist(), b["format"].to_pylist(), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])  # integers stay exact beside nulls
+
+    return catalog.select("path", "format").mapInArrow(run, SCHEMA)
+
 
-    return catalog.select("path", "format").mapInPandas(run, SCHEMA)
+def with_pictures(rows: DataFrame, pictures: DataFrame) -> DataFrame:
+    """rows of hashed(), with what the JVM decoded in place of fallbacks and of failures to decode."""
+    more = pictures.select("path", *[F.col(c).alias(f"jvm_{c}") for c in ("phash", "phash_enh", "pixels")])
+    out = rows.join(more, "path", "left")
+    better = F.col("digest").isNotNull() & F.col("jvm_phash").isNotNull() & (F.coalesce("phash_is_fallback", F.lit(False)) | (F.col("stage") == "phash"))
+    to = {"phash": F.col("jvm_phash"), "phash_enh": F.col("jvm_phash_enh"), "phash_is_fallback": F.lit(False), "pixels": F.col("jvm_pixels")} | {c: F.lit(None).cast("string") for c in ("stage", "error_class", "error_message")}
+    return out.select(*[F.when(F.coalesce(better, F.lit(False)), to[c]).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in rows.columns])
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hashes, and rejects."""
-    good = rows.where("stage is null").select("path", "digest", "phash", "phash_enh", "phash_is_fallback")
+    good = rows.where("stage is null").select("path", "digest", "phash", "phash_enh", "phash_is_fallback", "pixels")
     return good, rows.where("stage is not null").select("path", "stage", "error_class", "error_message")

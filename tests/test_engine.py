@@ -120,8 +120,8 @@ def test_time_limit():
 
 
 def test_store(spark, tmp_path):
-    s = store.HashStore(spark, str(tmp_path / "s"))
-    row = lambda p, d, h=None, e=None: (p, bytearray(d), h, e, False)
+    s = store.HashStore(spark, str(tmp_path / "s"), ranges=4)
+    row = lambda p, d, h=None, e=None: (p, bytearray(d), h, e, False, None)
     frame = lambda *rows: spark.createDataFrame(rows, store.SCHEMA)
     assert s.read().count() == 0
     s.upsert(frame(row("a", b"1", 1), row("b", b"2", -1)))
@@ -189,3 +189,166 @@ def test_stream_sees_each_file_once(spark, tmp_path):
         (folder / f"{k}.bin").write_bytes(bytes([k]))
         into_store(file_stream(spark, str(folder)), s, str(tmp_path / "ck")).awaitTermination()
     assert s.read().count() == 2
+
+
+def test_jpeg_and_tiff_by_the_jvm(spark, tmp_path):
+    """The ladder of one picture as JPEG in several qualities and sizes, as TIFF and PNG, against another picture."""
+    files = tmp_path / "files"
+    files.mkdir()
+    rng = np.random.default_rng(8)
+    jvm = spark._jvm
+
+    def save(pixels: np.ndarray, name: str, kind: str, quality: float | None = None) -> None:
+        h, w, _ = pixels.shape
+        image = jvm.java.awt.image.BufferedImage(w, h, 1)
+        raster = spark.sparkContext._gateway.new_array(jvm.int, w * h)
+        for i, (r, g, b) in enumerate(pixels.reshape(-1, 3).tolist()):
+            raster[i] = r << 16 | g << 8 | b
+        image.setRGB(0, 0, w, h, raster, 0, w)
+        writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(kind).next()
+        param = writer.getDefaultWriteParam()
+        if quality:
+            param.setCompressionMode(2)
+            param.setCompressionQuality(quality)
+        stream = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(str(files / name)))
+        writer.setOutput(stream)
+        writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+        stream.close()
+
+    small = rng.integers(0, 256, (8, 8, 3), dtype=np.uint8)
+    scaled = lambda k: np.repeat(np.repeat(small, k, axis=0), k, axis=1)
+    for q in (0.9, 0.5, 0.2):
+        save(scaled(8), f"q{int(q * 100)}.jpg", "jpeg", q)
+    save(scaled(5), "small.JPEG", "jpeg", 0.9)
+    save(scaled(8), "t.tif", "tiff")
+    save(scaled(8)[:, ::-1], "turned.jpg", "jpeg", 0.9)
+    (files / "a b+c%41.png").write_bytes(png(scaled(8)))
+    (files / "junk.jpg").write_bytes(b"\xff\xd8 no picture")
+    engine = Engine(spark, str(tmp_path / "store"), Config(max_distance=8))
+    assets = engine.discover([str(files)])
+    _, rejects = engine.hash_and_persist(assets, enhanced=True)
+    assert rejects.count() == 0
+    kept = {os.path.basename(r["path"]): r for r in engine.store.read().collect()}
+    assert len(kept) == 8 and [n for n, r in kept.items() if r["phash_is_fallback"]] == ["junk.jpg"]
+    exact = kept["a b+c%41.png"]
+    assert kept["t.tif"]["phash"] == exact["phash"] == decode.phash(scaled(8)) and kept["t.tif"]["phash_enh"] == exact["phash_enh"] == decode.phash_words(scaled(8))
+    distance = lambda n: bin((kept[n]["phash"] ^ exact["phash"]) & (2**64 - 1)).count("1")
+    assert distance("q90.jpg") <= distance("q50.jpg") + 2 and max(distance(n) for n in ("q90.jpg", "q50.jpg", "q20.jpg", "small.JPEG")) <= 8 < distance("turned.jpg")
+    assert {n: r["pixels"] for n, r in kept.items()} == {"q90.jpg": 4096, "q50.jpg": 4096, "q20.jpg": 4096, "small.JPEG": 1600, "t.tif": 4096, "turned.jpg": 4096, "a b+c%41.png": 4096, "junk.jpg": None}
+    groups = {os.path.basename(r["path"]): r["label"] for r in engine.near_duplicates().collect()}
+    assert len({groups[n] for n in ("q90.jpg", "q50.jpg", "t.tif", "small.JPEG", "a b+c%41.png")}) == 1 and groups["turned.jpg"] != groups["t.tif"]
+
+
+def test_fast_hash_steps_by_whole_pixels(spark):
+    for w, h in ((8, 8), (20, 9), (5, 3), (33, 17)):
+        px = list(range(w * h))
+        got = spark.createDataFrame([(px, w, h)], "px array<int>, w int, h int").select(H.sampled(F.col("px"), F.col("w"), F.col("h")).alias("s")).first()["s"]
+        assert got == [min(y * (max(h, 8) // 8), h - 1) * w + min(x * (max(w, 8) // 8), w - 1) for y in range(8) for x in range(8)]
+
+
+def test_image_names(spark):
+    names = {"IMG-1_original.JPG": ("IMG-1", "original", None, "jpg"), "IMG_original": None, "a_resize_800x600_1.png": ("a", "resize", "800x600", "png"), "a_crop_9.jpg": ("a", "crop", None, "jpg"), "a_b.jpg": None, "x.jpg": None}
+    from assetloom.functions import paths
+
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", paths.image_name(F.col("n")).alias("i"))
+    assert {r["n"]: r["i"] and tuple(r["i"]) for r in df.collect()} == names
+
+
+def test_two_writers(spark, tmp_path):
+    s, other = (store.HashStore(spark, str(tmp_path / "s"), ranges=4) for _ in range(2))
+    frame = lambda *rows: spark.createDataFrame([(p, bytearray(d), h, None, False, None) for p, d, h in rows], store.SCHEMA)
+    s.upsert(frame(*((f"p{i}", b"1", i) for i in range(40))))
+    merged = s._merged
+
+    def late(batch, n, old):
+        if s.version() == 1:  # another writer is first
+            other.upsert(frame(("p1", b"other", 100), ("q", b"other", 101)))
+        return merged(batch, n, old)
+
+    s._merged = late
+    assert s.upsert(frame(("p1", b"9", 9), ("p2", b"9", 9), ("p1", b"last", 1))) == 3
+    got = {r["path"]: bytes(r["digest"]) for r in s.read().collect()}
+    assert len(got) == 41 and got["p1"] == b"last" and got["p2"] == b"9" and got["q"] == b"other"
+    assert s.read(2).where("path = 'p1'").first()["phash"] == 100  # readers of an older version keep it
+    before = s._folders(3)[1]
+    s.upsert(frame(("p5", b"x", 0)))
+    after = s._folders(4)[1]
+    assert sum(before[k] != after[k] for k in before) == 1  # only the range that the batch touches
+    s.drop_old(1)
+    assert s.read().count() == 41 and s.version() == 4
+
+
+def test_keeper_rules_need_their_columns(spark):
+    from assetloom.operators import dedup
+
+    df = spark.createDataFrame([("/a/1", "d", 5, 10), ("/b/2", "d", 9, None), ("/b/3", "d", 9, 10)], "path string, digest string, size int, pixels int")
+    with pytest.raises(ValueError):
+        dedup.keepers(df, "path", {"size": "size"})
+    keeper = lambda **c: dedup.keepers(df, "path", {"size": "size", "pixels": "pixels"}, Config(**c)).first()["keeper"]
+    assert keeper(prioritization=("highest_resolution", "largest_file_size")) == "/b/3"
+    assert keeper(prioritization=("smallest_file_size",)) == "/a/1"
+    assert keeper(prioritization=("preferred_directory", "smallest_file_size"), preferred_directories=("/b",)) == "/b/2"
+
+
+def test_actions_and_their_results(spark):
+    from assetloom.operators import dedup
+
+    df = spark.createDataFrame([("/a/1", "d"), ("/b/1", "d"), ("/c/1", "d"), ("/d/2", "d"), ("/e/9", "f"), ("/f/9", "f")], "path string, digest string")
+    for config, kind in ((Config(delete_duplicates=True, create_symlinks=True, prioritization=()), "delete"), (Config(create_symlinks=True, prioritization=()), "symlink"), (Config(prioritization=()), "move")):
+        plan = dedup.action_plan(df, dedup.keepers(df, "path", {}, config), "path", config)
+        assert {r["action_type"] for r in plan.collect()} == {kind}
+        got = {r["duplicate_path"]: (r["success"], r["error"]) for r in dedup.action_results(plan, df.where("path not in ('/d/2', '/e/9')")).collect()}
+        same = (False, "target exists") if kind == "move" else (True, None)
+        assert got == {"/b/1": (True, None), "/c/1": same, "/d/2": (False, "duplicate not found"), "/f/9": (False, "original not found")}
+
+
+def test_force_rescan_and_missing_files(spark, tmp_path):
+    f = tmp_path / "a.png"
+    f.write_bytes(png(picture(1)))
+    assets = catalog(spark, [str(tmp_path)]).cache()
+    engine = Engine(spark, str(tmp_path / "s"), Config(force_rescan=True))
+    assert engine.hash_and_persist(assets)[0] == 1 and engine.hash_and_persist(assets)[0] == 2
+    assert store.new_assets(assets, engine.store.read(), force_rescan=True).count() == 1 and store.new_assets(assets, engine.store.read()).count() == 0
+    assert decode.hash_file(str(tmp_path / "none.png"), "png", {"png": decode.png}, bytes, (5, 5), False)[6] == "validate"
+
+
+def test_first_seen_within_the_watermark(spark, tmp_path):
+    from assetloom.streaming.incremental import first_seen
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, rows in enumerate(([("a", 0), ("a", 60), ("b", 0)], [("a", 30), ("c", 10)])):
+        spark.createDataFrame(rows, "path string, s int").selectExpr("path", "timestamp_seconds(1000000 + s) as ts").coalesce(1).write.parquet(str(folder / f"k{k}"))
+    stream = first_seen(spark.readStream.schema("path string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder) + "/*"))
+    stream.writeStream.format("memory").queryName("first_seen_rows").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["path"] for r in spark.sql("select path from first_seen_rows").collect()) == ["a", "b", "c"]
+
+
+def test_skip_list_and_cache(spark, tmp_path):
+    for n in ("a.png", "b.png"):
+        (tmp_path / n).write_bytes(png(picture(1)))
+    engine = Engine(spark, str(tmp_path / "s"), Config(log_level="debug"))
+    late = spark.createDataFrame([(str(tmp_path / "a.png"), "phash", "TimedOutError", "x"), (str(tmp_path / "b.png"), "phash", "ValueError", "x")], "path string, stage string, error_class string, error_message string")
+    engine.skipped.add(late)
+    engine.skipped.add(late)
+    assert [os.path.basename(r["path"]) for r in engine.skipped.read().collect()] == ["a.png"]
+    engine.hash_and_persist(engine.discover([str(tmp_path)]))
+    assert [os.path.basename(r["path"]) for r in engine.store.read().collect()] == ["b.png"]
+    assert [r["key"][:3] for r in store.in_key_order(store.key_value_view(engine.store.read())).collect()] == ["pc:", "pp:"]
+    cache, asked = decode.HashCache(2), []
+    for p in ("x", "x", "y", "z", "x"):
+        assert cache.get(p, lambda q: asked.append(q) or q.upper()) == p.upper()
+    assert asked == ["x", "y", "z", "x"]
+
+
+def test_shrinking_large_pictures():
+    small = np.random.default_rng(2).integers(0, 256, (8, 8, 3), dtype=np.uint8)
+    big = np.repeat(np.repeat(small, 150, axis=0), 260, axis=1)  # 1200 x 2080
+    assert decode.shrunk(big, 1024, "lanczos3").shape == (591, 1024, 3) and decode.shrunk(big.transpose(1, 0, 2), 768, "nearest").shape == (768, 443, 3)
+    assert decode.shrunk(small, 768, "nearest") is small
+    for size in (1, 200_000_000, 400_000_000):
+        assert decode.phash_large(big, size) == decode.phash(small)
+    assert decode.phash_enhanced(big, "png") == decode.phash_words(small) and decode.phash_enhanced(big, "tiff") == decode.phash(small)
+    flat = np.full((1100, 30, 3), 77, np.uint8)
+    for kind in ("triangle", "lanczos3"):
+        assert (decode.resized(flat, 20, 700, kind) == 77).all()
