@@ -2,19 +2,24 @@
 
 A text's features are its distinct lower-cased words, and prefixes and suffixes of these (word families share a
 stem), hashed to ``2**BITS`` places. Weights minimise the log loss with an L1 penalty, plus ``swap_weight`` times the
-squared change of the logit when an identity term of a labelled sentence is swapped for another term, so that a group
-mention by itself moves no score.
+squared change of the logit between counterfactual versions of labelled sentences, so that a group mention by itself
+moves no score: an identity term of the sentence is swapped for others of its language; a sentence without one is
+compared with itself after a neutral mention, and that mention's term is swapped in turn.
 
 The fit uses a bounded sample, chosen by hash: at most ``sample_rows`` labelled rows. Scores cover every whole text.
 
 Defined results: null and empty texts get the score of a text without features; a text's repeated words count once;
-with no labelled row every score is 0; a doc_id with several labels counts as toxic if one of them says so; other
-columns are kept as they are.
+texts of any length are read whole; equal texts have equal scores, repeated rows each their own; a score of just 0.5
+predicts 1; with no labelled row every score is 0; a doc_id with several labels counts as toxic if one of them says so; a
+labelled doc_id of several rows is learnt from its smallest text; an empty table gives no rows; other columns are kept
+as they are.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,14 +32,14 @@ from assetloom.llm.common import fold, mix64, slices
 
 BITS = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Neutral group mentions. Fixed values; another list can be given.
+#: Neutral group mentions, by language. Fixed values; other lists can be given.
 IDENTITY_TERMS = (
-    "african", "american", "arab", "asian", "atheist", "bisexual", "black", "blind", "buddhist", "catholic", "chinese",
-    "christian", "christians", "deaf", "disabled", "elderly", "european", "female", "gay", "hindu", "homosexual",
-    "immigrant", "immigrants", "indian", "jew", "jewish", "jews", "latino", "lesbian", "male", "man", "men", "mexican",
-    "muslim", "muslims", "old", "protestant", "queer", "refugee", "refugees", "sikh", "straight", "trans",
-    "transgender", "white", "woman", "women", "young",
-)
+    tuple("african american arab asian atheist bisexual black blind buddhist catholic chinese christian christians deaf disabled elderly european female gay hindu homosexual immigrant immigrants indian jew jewish jews latino lesbian male man men mexican muslim muslims old protestant queer refugee refugees sikh straight trans transgender white woman women young".split()),
+    tuple("afrikaner amerikaner araber asiaten atheisten behinderte blinde buddhisten chinesen christen deutsche frauen gehörlose hindus homosexuelle inder juden katholiken lesben männer migranten muslime protestanten schwarze schwule türken weiße".split()),
+    tuple("africains américains arabes asiatiques athées aveugles bouddhistes catholiques chinois chrétiens femmes handicapés hindous hommes homosexuels immigrés indiens juifs lesbiennes musulmans noirs protestants réfugiés sourds".split()),
+    tuple("africanos americanos asiáticos ateos blancos budistas católicos chinos ciegos cristianos discapacitados gitanos hindúes hombres homosexuales indios inmigrantes judíos lesbianas mujeres musulmanes negros protestantes refugiados sordos".split()),
+)
+Terms = Sequence[Sequence[str]]
 
 
 def letters(text: str | None) -> list[str]:
@@ -92,10 +97,11 @@ class Rows:
         return np.bincount(self.col, g[self.at] * self.val, size)
 
 
-def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarray, np.ndarray]] = (), l1: float = 2e-4, swap_weight: float = 5.0, steps: int = 250, size: int = 1 << BITS) -> tuple[np.ndarray, float]:
-    """Weights and intercept, by accelerated proximal gradient. swaps: features lost and gained by each swap."""
+def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarray, np.ndarray]] = (), l1: float = 1e-3, swap_weight: float = 5.0, steps: int = 250, still: float = 1e-2, size: int = 1 << BITS) -> tuple[np.ndarray, float]:
+    """Weights and intercept, by accelerated proximal gradient, until ten steps lower the loss by less than ``still`` of it.
+    swaps: features lost and gained by each swap."""
     count = np.bincount(np.concatenate([*x, np.empty(0, dtype=np.int64)]).astype(np.int64), minlength=size)
-    used = np.flatnonzero(count >= 3)
+    used = np.flatnonzero(count >= 3)  # a term that no text has keeps a weight of 0 and needs no penalty
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
     narrow = lambda r: (p := place[r.astype(np.int64)])[p >= 0]
@@ -115,8 +121,12 @@ def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarr
         d = c.times(w * scale) if c else None
         return float((weight * (np.logaddexp(0, z) - y * z)).mean() + (swap_weight * (d @ d) / max(c.n, 1) if c else 0)), z, d
 
+    past = []
     for _ in range(steps):
         f, z, d = loss(v, vb)
+        past.append(f + l1 * np.abs(v).sum())
+        if len(past) > 10 and past[-11] - past[-1] < still * past[-11]:
+            break
         r = weight * (1 / (1 + np.exp(-z)) - y) / n
         g = m.back(r, k) * scale + (2 * swap_weight / max(c.n, 1) * c.back(d, k) * scale if c else 0)
         gb = r.sum()
@@ -136,24 +146,39 @@ def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarr
     return out, b
 
 
-def swapped(found: Sequence[str], terms: Sequence[str], features: Features) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each identity term in a text, the features that a swap for the next two terms of the list takes away and brings."""
+def swapped(found: Sequence[str], terms: Terms, features: Features, others: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features that each counterfactual version of a text takes away and brings. Which terms replace a term, and which
+    are mentioned, follows from the text."""
     have, out = set(found), []
-    for i, a in enumerate(terms):
-        if a in have:
-            for b in (terms[(i + 1) % len(terms)], terms[(i + 7) % len(terms)]):
-                rest = features.of([w for w in have if w != a])
-                out.append((np.setdiff1d(features.of([a]), rest), np.setdiff1d(features.of([b]), rest)))
+    choice = random.Random(zlib.crc32(" ".join(found).encode("utf-8", "surrogatepass")))
+
+    def change(gone: str | None, new: str | None, rest: np.ndarray) -> None:
+        lost, gained = (np.setdiff1d(features.of([w]), rest) if w else np.empty(0, np.int32) for w in (gone, new))
+        out.append((np.setdiff1d(lost, gained), np.setdiff1d(gained, lost)))
+
+    for group in terms:
+        for a in (t for t in group if t in have):
+            rest = features.of([w for w in have if w != a])
+            for b in choice.sample([t for t in group if t not in have], min(others, sum(t not in have for t in group))):
+                change(a, b, rest)
+    if not out and terms:
+        rest = features.of(list(have)) if have else np.empty(0, np.int32)
+        group = choice.choice([g for g in terms if g])
+        a, *more = choice.sample(list(group), min(others, len(group)))
+        change(None, a, rest)
+        for b in more:
+            change(a, b, rest)
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, terms: Sequence[str] = IDENTITY_TERMS, sample_rows: int = 8000, text: str = "text", key: str = "doc_id", **how) -> tuple[np.ndarray, float] | None:
-    """Model from the labelled rows of docs; None if there are none."""
+def gathered(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS, sample_rows: int = 8000, text: str = "text", key: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Features and labels of the labelled rows of docs, and their counterfactual changes."""
     y = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").alias("y"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     rate = min(1.0, sample_rows / max(1, y.count()))
     unit = F.shiftrightunsigned(F.xxhash64("k"), 11).cast("double") / F.lit(float(2**53))
-    few = rows.join(F.broadcast(y.where(unit < rate)), "k").where("t is not null")  # about sample_rows rows at most
+    few = rows.join(F.broadcast(y.where(unit < rate)), "k").where("t is not null").groupBy("k", "y").agg(F.min("t").alias("t"))  # about sample_rows rows at most
+    flat_terms = [t for g in terms for t in g]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
@@ -161,18 +186,21 @@ def fit(docs: DataFrame, labels: DataFrame, terms: Sequence[str] = IDENTITY_TERM
             got, ys = [], []
             for k, t, v in zip(b["k"].to_pylist(), b["t"].to_pylist(), b["y"].to_pylist(), strict=True):
                 found = letters(t)
-                f.add([*found, *terms])
+                f.add([*found, *flat_terms])
                 got.append([(k, 0, f.of(found), [])] + [(k, 1, *p) for p in swapped(found, terms, f)])
                 ys += [v] * len(got[-1])
             flat = [x for g in got for x in g]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array(ys, pa.int32()), pa.array([x[2] for x in flat], pa.list_(pa.int32())), pa.array([x[3] for x in flat], pa.list_(pa.int32()))], names=["k", "kind", "y", "a", "b"])
 
     got = few.select(F.col("k").cast("long"), "t", F.col("y").cast("int")).mapInArrow(run, "k long, kind int, y int, a array<int>, b array<int>").toArrow()  # at most sample_rows texts and their swaps
-    got = sorted(zip(got["k"].to_pylist(), got["kind"].to_pylist(), got["y"].to_pylist(), got["a"].to_numpy(), got["b"].to_numpy(), strict=True), key=lambda r: (r[1], r[0] if r[0] is not None else -1, r[2], r[3].tobytes(), r[4].tobytes()))
-    texts = [r for r in got if r[1] == 0]
-    if not texts:
-        return None
-    return train([r[3] for r in texts], np.array([r[2] for r in texts], dtype=float), [(r[3], r[4]) for r in got if r[1] == 1], **how)
+    got = sorted(zip(got["k"].to_pylist(), got["kind"].to_pylist(), got["y"].to_pylist(), got["a"].to_numpy(), got["b"].to_numpy(), strict=True), key=lambda r: (r[1], r[0], r[2], r[3].tobytes(), r[4].tobytes()))
+    return [r[3] for r in got if r[1] == 0], np.array([r[2] for r in got if r[1] == 0], dtype=float), [(r[3], r[4]) for r in got if r[1] == 1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS, sample_rows: int = 8000, text: str = "text", key: str = "doc_id", **how) -> tuple[np.ndarray, float] | None:
+    """Model from the labelled rows of docs; None if there are none."""
+    x, y, swaps = gathered(docs, labels, terms, sample_rows, text, key)
+    return train(x, y, swaps, **how) if x else None
 
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "text") -> DataFrame:
