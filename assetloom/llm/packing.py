@@ -2,12 +2,13 @@
 
 Every id takes the fewest bits that hold the vocabulary's ids. A shard file is
 
-    magic "ALPK" | version u32 | bits u32 | ids per block u32 | number of ids u64 | number of documents u64
-    | offsets of the blocks, u64 each and one for the end, in bytes from the first block
-    | document lengths u64 | document ids i64 | flags u8 (1: null id) | blocks
+    blocks | offsets of the blocks, u64 each and one for the end, in bytes from the first
+    | document lengths u64 | document ids i64 | flags u8 (1: null id)
+    | magic "ALPK" | version u32 | bits u32 | ids per block u32 | number of ids u64 | number of documents u64
 
 all little-endian; a block holds ids lowest bit first and starts at a whole byte, so any range of ids is read by
-unpacking a few blocks with numpy. Shards hold ranges of doc_id in ascending order; their names and counts are in a
+unpacking a few blocks with numpy. Blocks are written as they fill; a writer holds a block and 17 bytes a document.
+Shards hold ranges of doc_id in ascending order, about ``shard_bytes`` of text each; their names and counts are in a
 small manifest, whose running sums give every document's place in the whole.
 
 Shards go to the folder that the cluster shares, each under a name of its own attempt and then renamed: a task that
@@ -15,17 +16,18 @@ runs twice leaves one whole file. Encoding uses the tokenizers library once for
 sees (words of Latin-1 texts; other texts are encoded whole).
 
 Defined results: null and empty texts hold the end id only; rows with equal doc_id stand next to each other in order
-of their text; a null doc_id comes first; an empty table gives no shard and an empty result; other columns are
-ignored.
+of their text's crc32, then text (so that an id of many rows spreads over shards); a null doc_id comes first; texts of any
+length are encoded whole; an empty table gives no shard and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import io
+import itertools
 import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -60,31 +62,39 @@ def unpack(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Collects documents; blocks are packed as they fill, so only packed bytes are held."""
+    """Writes documents to an open file."""
 
-    def __init__(self, bits: int, block: int = 8192):
-        self.bits, self.block = bits, block
-        self.body, self.offsets, self.left, self.n = io.BytesIO(), [0], np.empty(0, np.uint32), 0
-        self.docs: list[tuple[int, int, int]] = []
+    def __init__(self, f, bits: int, block: int = 8192):
+        self.f, self.bits, self.block = f, bits, block
+        self.offsets, self.left, self.held, self.n, self.docs = array("Q", [0]), [], 0, 0, 0
+        self.lengths, self.ids, self.null = array("Q"), array("q"), bytearray()
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((len(ids), doc_id or 0, doc_id is None))
-        self.n += len(ids)
-        self.left = np.concatenate((self.left, ids)) if len(self.left) else ids
-        while len(self.left) >= self.block:
-            self._flush(self.left[: self.block])
-            self.left = self.left[self.block :]
+        self.lengths.append(len(ids))
+        self.ids.append(doc_id or 0)
+        self.null.append(doc_id is None)
+        self.n, self.docs = self.n + len(ids), self.docs + 1
+        self.left.append(ids)
+        self.held += len(ids)
+        if self.held >= self.block:
+            whole = np.concatenate(self.left)
+            end = len(whole) - len(whole) % self.block
+            for at in range(0, end, self.block):
+                self._flush(whole[at : at + self.block])
+            self.left, self.held = [whole[end:]], len(whole) - end
 
     def _flush(self, ids: np.ndarray) -> None:
-        self.body.write(pack(ids, self.bits))
-        self.offsets.append(self.body.tell())
+        data = pack(ids, self.bits)
+        self.f.write(data)
+        self.offsets.append(self.offsets[-1] + len(data))
 
-    def parts(self) -> list[bytes]:
-        if len(self.left):
-            self._flush(self.left)
-            self.left = self.left[:0]
-        length, ids, null = (np.array(x) for x in zip(*self.docs, strict=True)) if self.docs else (np.empty(0),) * 3
-        return [HEAD.pack(MAGIC, 1, self.bits, self.block, self.n, len(self.docs)), np.array(self.offsets, "<u8").tobytes(), length.astype("<u8").tobytes(), ids.astype("<i8").tobytes(), null.astype("u1").tobytes(), self.body.getbuffer()]
+    def finish(self) -> None:
+        if self.held:
+            self._flush(np.concatenate(self.left))
+        for x, kind in ((self.offsets, "<u8"), (self.lengths, "<u8"), (self.ids, "<i8")):
+            self.f.write(np.array(x, kind).tobytes())
+        self.f.write(bytes(self.null))
+        self.f.write(HEAD.pack(MAGIC, 2, self.bits, self.block, self.n, self.docs))
 
 
 class ShardReader:
@@ -92,13 +102,15 @@ class ShardReader:
 
     def __init__(self, f):
         self.f = f
+        f.seek(-HEAD.size, 2)
         magic, _, self.bits, self.block, self.n, docs = HEAD.unpack(f.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a shard of packed ids")
-        self.offsets = np.frombuffer(f.read(8 * (-(-self.n // self.block) + 1)), "<u8")
+        blocks = -(-self.n // self.block) + 1
+        f.seek(-HEAD.size - 17 * docs - 8 * blocks, 2)
+        self.offsets = np.frombuffer(f.read(8 * blocks), "<u8")
         self.lengths = np.frombuffer(f.read(8 * docs), "<u8").astype(np.int64)
         self.doc_ids, self.null = np.frombuffer(f.read(8 * docs), "<i8"), np.frombuffer(f.read(docs), "u1")
-        self.first = HEAD.size + 8 * len(self.offsets) + 17 * docs
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def ids(self, start: int, n: int) -> np.ndarray:
@@ -106,7 +118,7 @@ class ShardReader:
         if not n:
             return np.empty(0, np.uint32)
         a, b = start // self.block, (start + n - 1) // self.block
-        self.f.seek(self.first + int(self.offsets[a]))
+        self.f.seek(int(self.offsets[a]))
         data = memoryview(self.f.read(int(self.offsets[b + 1] - self.offsets[a])))
         base = int(self.offsets[a])
         got = [unpack(data[int(self.offsets[i]) - base : int(self.offsets[i + 1]) - base], self.bits, min(self.block, self.n - i * self.block)) for i in range(a, b + 1)]
@@ -115,6 +127,20 @@ class ShardReader:
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.lengths[i]))
 
+    def checksums(self, blocks: int = 64) -> Iterator[int]:
+        """The crc32 of each document in order; every block is unpacked once, some at a time."""
+        at, held = 0, memoryview(b"")
+        for length in self.lengths.tolist():
+            crc, left = 0, 4 * length
+            while left:
+                if not held:
+                    part = self.ids(at, min(self.block * blocks, self.n - at))
+                    at += len(part)
+                    held = memoryview(part.astype("<u4").tobytes())
+                take = min(left, len(held))
+                crc, held, left = zlib.crc32(held[:take], crc), held[take:], left - take
+            yield crc
+
 
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct word; a bounded memo holds what it said."""
@@ -145,15 +171,18 @@ class LibraryEncoder:
             lines = [" ".join(some[j : j + 256]) for j in range(0, len(some), 256)]
             ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.of_words.encode_batch_fast(lines, add_special_tokens=False)])
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                raise ValueError("the library parts words otherwise than the splitter")
-            self.memo |= {w: x.tobytes() for w, x in zip(some, np.split(ids, cuts[:-1]), strict=True)}
+            if len(cuts) == len(some):
+                self.memo |= {w: x.tobytes() for w, x in zip(some, np.split(ids, cuts[:-1]), strict=True)}
+                continue
+            for w in some:  # the library parts one of them otherwise than the splitter: texts with that word are encoded whole
+                own = np.array(self.of_words.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
+                self.memo[w] = own.tobytes() if len(own) and self.ends[own].sum() == 1 and self.ends[own[-1]] else None
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         found: list[list[str] | np.ndarray] = []
         for t in texts:
             plain = t is None or (t.isascii() or self._latin(t)) and "<|" not in t
-            found.append(self.split.words(t) if plain else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
+            found.append(self.split.words(t) if plain else self._whole(t))
         distinct = dict.fromkeys(w for ws in found if isinstance(ws, list) for w in ws)
         new = [w for w in distinct if w not in self.memo]
         if new and len(self.memo) + len(new) > self.most:
@@ -161,8 +190,16 @@ class LibraryEncoder:
             new = list(distinct)
         if new:
             self._learn(new)
-        memo = self.memo
-        return [np.frombuffer(b"".join([memo[w] for w in ws]), dtype=np.uint32) if isinstance(ws, list) else ws for ws in found]
+        out = []
+        for t, ws in zip(texts, found, strict=True):
+            if isinstance(ws, list):
+                each = [self.memo[w] for w in ws]
+                ws = self._whole(t) if None in each else np.frombuffer(b"".join(each), dtype=np.uint32)
+            out.append(ws)
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     @staticmethod
     def _latin(text: str) -> bool:
@@ -173,36 +210,36 @@ class LibraryEncoder:
         return True
 
 
-def write(spark: SparkSession, docs: DataFrame, directory: str, path: str, end_id: int = 2, shards: int | None = None) -> list[tuple[int, str, int, int]]:
+def write(spark: SparkSession, docs: DataFrame, directory: str, path: str, end_id: int = 2, shard_bytes: int = 16_000_000) -> list[tuple[int, str, int, int]]:
     """Encodes docs (doc_id, text) and writes the shards; the manifest: (number, file, documents, ids) a shard, in order."""
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    rows = rows.select("doc_id", "text", F.spark_partition_id().alias("shard"))
+    n = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
+    rows = rows.repartitionByRange(n, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "text").select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = writer = None
+        from pyspark import TaskContext
+
+        f = writer = None
         shard = 0
+        store, folder = fs.FileSystem.from_uri(directory)
         for b in slices(batches, "text", 1_500_000):
-            if encoder is None:
-                encoder = LibraryEncoder(path)
-                writer = ShardWriter(encoder.bits)
-            if b.num_rows:
-                shard = b["shard"][0].as_py()
+            if not b.num_rows:
+                continue
+            if writer is None:
+                shard, encoder = b["shard"][0].as_py(), LibraryEncoder(path)
+                store.create_dir(folder, recursive=True)
+                name = f"{folder}/shard-{shard:06d}.alpk"
+                mine = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+                f = store.open_output_stream(mine)
+                writer = ShardWriter(f, encoder.bits)
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist()), strict=True):
                 writer.add(doc_id, np.append(ids, np.uint32(end_id)))
-        if writer is None or not writer.docs:
+        if writer is None:
             return
-        store, folder = fs.FileSystem.from_uri(directory)
-        store.create_dir(folder, recursive=True)
-        name = f"{folder}/shard-{shard:06d}.alpk"
-        from pyspark import TaskContext
-
-        mine = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
-        with store.open_output_stream(mine) as f:
-            for part in writer.parts():
-                f.write(part)
+        writer.finish()
+        f.close()
         store.move(mine, name)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{directory}/shard-{shard:06d}.alpk"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.n], pa.int64())], names=["shard", "file", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{directory}/shard-{shard:06d}.alpk"]), pa.array([writer.docs], pa.int64()), pa.array([writer.n], pa.int64())], names=["shard", "file", "docs", "ids"])
 
     return sorted(tuple(r) for r in rows.mapInArrow(run, "shard int, file string, docs long, ids long").collect())  # one row a shard
 
@@ -221,10 +258,10 @@ def read(spark: SparkSession, manifest: Sequence[tuple[int, str, int, int]]) ->
                 store, path = fs.FileSystem.from_uri(name)
                 with store.open_input_file(path) as f:
                     r = ShardReader(f)
+                    sums = r.checksums()
                     for at in range(0, len(r.lengths), 4096):
-                        some = range(at, min(at + 4096, len(r.lengths)))
-                        crc = [zlib.crc32(r.document(i).astype("<u4").tobytes()) for i in some]
-                        part = slice(at, some.stop)
+                        part = slice(at, min(at + 4096, len(r.lengths)))
+                        crc = list(itertools.islice(sums, part.stop - at))
                         yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids[part], pa.int64(), mask=r.null[part].astype(bool)), pa.array(r.starts[part] + start), pa.array(r.lengths[part]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
