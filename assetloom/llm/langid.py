@@ -5,11 +5,13 @@ compressed with each dictionary, whole, in pieces of ``piece`` bytes (so that th
 text), and the language whose dictionary gives the fewest bytes is taken. The margin is the part by which the best
 size is below the second; documents with a narrow margin are rejected.
 
-Parameters that bound the fit: ``sample_docs`` rows a language, chosen by hash, of each at most ``excerpt``
-characters from its middle, in a dictionary of at most ``dict_bytes``. Everything else covers all rows.
+Parameters that bound the fit: a language's dictionary holds whole texts, ``sample_docs`` of them at most, in the order of
+a hash, each of at most ``longest`` bytes and as many as ``dict_bytes`` have room for; a language without a text that
+short has its shortest one. Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; equal sizes go to the
-language with the most labelled rows, then by name; with one language only, the margin is 1; with no labelled row every text is ``und``.
+language with the most labelled rows, then by name; with one language only, the margin is 1; with no labelled row every text is ``und``;
+repeated rows each have their own result, texts of any length are read whole, an empty table gives no rows.
 Other columns are kept as they are.
 """
 
@@ -36,21 +38,26 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 200, excerpt: int = 1500, dict_bytes: int = 112_000) -> dict[str, bytes]:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = 200, longest: int = 16_000, dict_bytes: int = 112_000) -> dict[str, bytes]:
     """Dictionary contents by language, the commonest language first."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"), F.octet_length(text).alias("size"))
+    fits = F.col("size") <= longest
+    count = {r["lang"]: r for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("short"), F.min(F.struct("size", "h")).alias("least")).collect()}  # one row a language
     if not count:
         return {}
     unit = (F.shiftrightunsigned(F.col("h"), 11).cast("double")) / F.lit(float(2**53))
-    rate = F.create_map(*[F.lit(x) for k, n in sorted(count.items()) for x in (k, min(1.0, 1.5 * sample_docs / n))])
-    middle = F.greatest(F.lit(1), ((F.length("text") - excerpt) / 2).cast("int"))
-    rows = known.where(unit < rate[F.col("lang")]).select("lang", "h", F.substring("text", middle, F.lit(excerpt)).alias("text")).collect()
+    rate = F.create_map(*[F.lit(x) for k, r in sorted(count.items()) for x in (k, min(1.0, 1.5 * sample_docs / max(1, r["short"])))])
+    rows = known.where(fits & (unit < rate[F.col("lang")])).select("lang", "h", "text").distinct()
+    if alone := [(k, *r["least"]) for k, r in count.items() if not r["short"]]:
+        rows = rows.union(known.join(F.broadcast(known.sparkSession.createDataFrame(alone, "lang string, size int, h long")), ["lang", "size", "h"]).select("lang", "h", "text").distinct())
     out: dict[str, list[bytes]] = {k: [] for k in sorted(count)}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
-        if len(out[r["lang"]]) < sample_docs:
-            out[r["lang"]].append(plain(r["text"]))
-    return {k: b" ".join(out[k])[-dict_bytes:] for k in sorted(count, key=lambda k: (-count[k], k))}
+    room = dict.fromkeys(count, dict_bytes)
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):  # about 1.5 * sample_docs texts a language
+        k, data = r["lang"], plain(r["text"])
+        if len(out[k]) < sample_docs and (len(data) < room[k] or not out[k]):
+            out[k].append(data)
+            room[k] -= len(data) + 1
+    return {k: b" ".join(out[k]) for k in sorted(count, key=lambda k: (-count[k]["n"], k))}
 
 
 class Classifier:
