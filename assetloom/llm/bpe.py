@@ -351,13 +351,14 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, lexicon_words
 
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", **how) -> DataFrame:
-    """docs, without the text, with n_tokens, ids_sha256, decoded_sha256, and (general interface) ids."""
+    """docs, without the text, with n_tokens, ids_sha256, decoded_sha256, and (general interface) ids; columns of docs with
+    these names give way."""
     return _coded(spark, docs, path, text, True, **how)
 
 
 def _coded(spark: SparkSession, docs: DataFrame, path: str, text: str, with_ids: bool, **how) -> DataFrame:
     sent = spark.sparkContext.broadcast(build_lexicon(spark, docs, path, text=text, **how))  # lexicon_words words at most
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).alias("__al_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "n_tokens", "ids_sha256", "decoded_sha256", "ids")], F.col(text).alias("__al_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
