@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
-import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,17 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="assetloom-"))
-    return base.rstrip("/")
-
+from assetloom.sources.folders import shared_dir
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's interpreter ends."""
@@ -59,15 +46,15 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into pieces of about most_bytes of text, so that a worker's memory doesn't follow the batch size."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000, most_rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into pieces of about most_bytes of text and most_rows at most, so that a worker's memory doesn't follow the batch size."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         at, total = 0, np.cumsum(size)
         while at < b.num_rows:
             done = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, done + most_bytes, "right")))
+            end = min(at + most_rows, max(at + 1, int(np.searchsorted(total, done + most_bytes, "right"))))
             yield b.slice(at, end - at)
             at = end
 
@@ -141,13 +128,6 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix64(np.add.reduceat(term, first) + length.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of queries that ended: it does so once the driver's JVM finds them unused."""
-    gc.collect()  # else Python's own references keep them in use
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner runs beside
-
-
 def removed(spark: SparkSession, table: DataFrame) -> None:
     """Deletes a staged table that nothing will read again."""
     for name in table.inputFiles()[:1]:

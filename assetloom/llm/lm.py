@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import fold, freed, most_frequent, slices, staged, words
+from assetloom.llm.common import fold, most_frequent, slices, staged, words
 
 END = b""  # no word is empty
 
@@ -238,7 +238,6 @@ def scored(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, model:
             )
 
     part = staged(spark, rows.mapInArrow(run, schema), "scored")
-    freed(spark)
     pairs = part.select("__al_row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("k"))))
     looked = pairs.join(counts, "word", "left").groupBy("__al_row").agg(F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
     out = part.drop("rare", "times").join(looked, "__al_row", "left")
