@@ -69,5 +69,17 @@ def test_run_repeats_itself(spark, folder):
     assert a.count() and listed(a.select("doc_id", "ids_sha256")) == listed(corpus_pipeline.run(spark, folder).select("doc_id", "ids_sha256"))
 
 
+def test_stages_on_an_empty_table_and_with_clashing_columns(spark, folder, docs_of, tmp_path):
+    names = ("n_tokens", "ids", "score", "lang_pred", "size", "n", "component_id", "class", "key", "block", "Label")
+    wide = spark.read.parquet(f"{folder}/documents.parquet").limit(60).selectExpr("*", *[f"{i} as `{c}`" for i, c in enumerate(names)])
+    for rows in (wide, wide.limit(0)):
+        d = str(tmp_path / f"d{rows.count()}")
+        rows.write.parquet(f"{d}/documents.parquet")
+        spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{d}/labels.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "component_id", "Label"} <= set(out.columns)
+        assert (out.count() > 0) == (rows.count() > 0)
+
+
 def test_registry():
     assert sorted(registry.queries()) == sorted(["pipeline", *(f"op{n}_{x}" for n, x in {1: "exact_top_k", 2: "toxicity", 3: "bpe", 4: "lm_score", 5: "packed_ids", 6: "near", 7: "html_text", 8: "mixing", 9: "language_id", 10: "ngram_join"}.items())])

@@ -36,6 +36,12 @@ def test_bpe_equals_the_library(spark, docs_of, odd_rows, library):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
 
 
+def test_clashing_columns_give_way(spark, docs_of, odd_rows):
+    df = docs_of(odd_rows[:5]).withColumns({"n_tokens": F.lit(1), "IDS": F.lit("x"), "__x": F.lit(2)})
+    got = bpe.encoded(spark, df, bpe.default_path())
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "__x", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and len(got.collect()) == 5
+
+
 def test_bpe_on_odd_strings(library):
     texts = ["don't 's 'S 12 345, \x1c a\x85b\xa0c ½²ªµÿŸ", "<|startoftext|>hi<|endoftext|> x<|endoftext|", "a" * 60 + " " + "é" * 99, "x'y ''ll we're \"'s", "﻿à à ﬁ ǅ Σς ΑΣ İ", " a ", "0" * 70]
     splitter = bpe.Splitter(bpe.default_path())
@@ -63,18 +69,39 @@ def test_packing_round_trip(bits):
 
     rng = np.random.default_rng(bits)
     docs = [rng.integers(0, 2**bits, n, dtype=np.uint64).astype(np.uint32) for n in (0, 1, 7, 100, 0, 3001)]
-    w = packing.ShardWriter(bits, block=64)
+    file = io.BytesIO()
+    w = packing.ShardWriter(file, bits, block=64)
     for i, ids in enumerate(docs):
         w.add(i, ids)
-    r = packing.ShardReader(io.BytesIO(b"".join(w.parts())))
+    w.finish()
+    r = packing.ShardReader(file)
+    assert list(r.checksums(blocks=2)) == [zlib.crc32(d.tobytes()) for d in docs]
     assert all((r.document(i) == d).all() and len(r.document(i)) == len(d) for i, d in enumerate(docs))
     whole = np.concatenate(docs)
     assert (r.ids(60, 200) == whole[60:260]).all()
 
 
+def test_packed_ids_spread_one_id_over_shards(spark, docs_of, library, tmp_path):
+    rows = [(None if i % 3 else 7, f"text number {i} " * 50, "en", "s") for i in range(300)]
+    manifest = packing.write(spark, docs_of(rows), f"file://{tmp_path}", bpe.default_path(), shard_bytes=30_000)
+    assert len(manifest) > 5 and max(d for _, _, d, _ in manifest) < 150
+    got = packing.read(spark, manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [7] * 100
+    assert [r["start"] for r in got][1:] == np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()
+    want = Counter(zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t, *_ in rows)
+    assert Counter(r["ids_crc32"] for r in got) == want
+
+
+def test_texts_with_words_that_the_library_parts_otherwise(library):
+    e = packing.LibraryEncoder(bpe.default_path())
+    e.memo = {"hello": None}
+    texts = ["hello world", "other world", "hello", None]
+    assert [x.tolist() for x in e.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_ids(spark, docs_of, odd_rows, library):
     got = packing.op5_packed_ids(spark, docs_of(odd_rows)).collect()
-    order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), r[1] is not None, r[1] or ""))
     start, want = 0, []
     for i, text, *_ in order:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -98,6 +125,12 @@ def test_language_model(spark, docs_of, odd_rows):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_language_model_gains_over_counts(spark):
+    """On held-out texts of the driver's own table the model says more than the counts do."""
+    got = lm.op4_lm_score(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.05
+
+
 def test_language_model_is_normalised():
     frequent = {b"": 5, b"a": 9, b"b": 4, b"rare": 1}
     zero = np.zeros(4)
@@ -163,10 +196,42 @@ def test_join_equals_brute_force(spark, docs_of, odd_rows):
     passage = " ".join(f"p{i}" for i in range(60))
     rows += [(at + i, f"{passage} " + " ".join(f"q{i}y{j}" for j in range(20 + 40 * (i % 6))), "en", "s1") for i in range(40)]
     rows.append((1000, "another text of the same id that is long enough to matter here", "en", "s1"))
+    base = [f"b{i}" for i in range(150)]  # a large family around one text: edits that many members share, on both sides of the threshold
+    for k in range(120):
+        w = list(base)
+        for j in range(k % 9):
+            at_ = (j * 17 + k * 7 + (k * k * 31 if j % 2 else 0)) % 150
+            w[at_] = f"c{at_}" if j % 3 else f"d{k}x{j}"
+        rows.append((5000 + k, " ".join(w), "en", "s2"))
+    rows += [(6000, " ".join(base), "en", "s1"), (6000, " ".join(base), "en", "s1"), (None, " ".join(base), "en", "s1")]
     got = ngram_join.op10_ngram_join(spark, docs_of(rows)).collect()
     assert sorted(repr(tuple(r)) for r in got) == brute_components(rows)
 
 
+def test_join_by_differences_from_a_hub_equals_brute_force(spark, docs_of, monkeypatch):
+    """Every signature counts as one of many members, blocks and ranges are small, and some sets count as short."""
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for f in range(3):
+        base = [f"b{f}x{i}" for i in range(60 + 90 * f)]
+        for k in range(60):
+            w = [x if r.random() > 0.06 * r.random() else r.choice(("", f"c{f}", f"e{r.random()}")) for x in base]
+            rows.append((100 * f + k, " ".join(w[: len(w) - r.randrange(12)]), "en", "s"))
+    want = brute_components(rows)
+    df = docs_of(rows).select(F.col("doc_id").alias("doc_id"), "text")
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    for few in (1, 16):
+        assert sorted(repr(tuple(x)) for x in ngram_join.joined(spark, df, few=few).collect()) == want
+    short, bounds, asked = ngram_join._short, ngram_join._bounds, []
+    monkeypatch.setattr(ngram_join, "_short", lambda *a: asked.append(1) or short(*a))
+    monkeypatch.setattr(ngram_join, "_bounds", lambda sets: bounds(sets).withColumn("enough", F.lit(10**6)))  # as if segments were too few: shingles decide
+    monkeypatch.setattr(ngram_join, "_one_by_one", lambda small, label: spark.createDataFrame([], "x long, node long"))
+    assert sorted(repr(tuple(x)) for x in ngram_join.joined(spark, df).collect()) == want and asked
+
+
 def test_mixing(spark, docs_of, odd_rows):
     got = mixing.op8_mixing(spark, docs_of(odd_rows)).collect()
     assert len(got) == len(odd_rows)
@@ -191,6 +256,35 @@ def test_mixing(spark, docs_of, odd_rows):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_mixing_equals_brute_force(spark, docs_of, odd_rows):
+    """The queue by hand: finish times in order, up to the budget."""
+    df = docs_of(odd_rows + [(500 + i, "w " * (1 + i * 37 % 90), "en", f"s{i % 5}") for i in range(300)])
+    rows = [(r["doc_id"], r["source"], len(tokens(r["text"])), r["h"]) for r in df.withColumn("h", F.xxhash64("doc_id", "text", "source")).collect()]
+    total = Counter()
+    for _, s, n, _ in rows:
+        total[s] += n
+    target = mixing.fair_targets(list(total.items()), (1, 2, 3), 3)
+    queued = []
+    for s in total:
+        at = 0
+        for i, _, n, h in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], r[2])):
+            at += n
+            queued += [((p * total[s] + at) / target[s], h, n, i) for p in range(3) if n]
+    taken, left = Counter(), sum(total.values())
+    ended = False
+    for k in sorted({(v, h) for v, h, *_ in queued}):
+        same = [q for q in queued if q[:2] == k]
+        ended = ended or sum(q[2] for q in same) > left
+        if not ended:
+            left -= sum(q[2] for q in same)
+            for q in same:
+                taken[q[3]] += q[2]
+    got = Counter()
+    for r in mixing.op8_mixing(spark, df).collect():
+        got[r["doc_id"]] += r["taken"]
+    assert {i: n for i, n in got.items() if n} == {i: n for i, n in taken.items() if n}
+
+
 def test_mixing_keeps_clashing_columns(spark, docs_of, odd_rows):
     df = docs_of(odd_rows).withColumns({"size": F.lit(1), "n": F.lit("x"), "v": F.lit(2.0)})
     assert mixing.mixed(spark, df).columns == df.columns
@@ -212,6 +306,28 @@ def test_language(spark, docs_of, odd_rows):
     assert kept.columns == df.columns and not {60, 61, 62, 63} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_equals_compressing_by_hand(spark, docs_of, odd_rows):
+    import zstandard
+
+    docs = docs_of(odd_rows)
+    content = langid.fit(docs)
+    assert list(content) == ["en", "de"]
+    for k, data in content.items():  # whole texts, each once
+        whole = {langid.plain(t) for _, t, lang, _ in odd_rows if lang == k and t and any(c.isalpha() for c in t)}
+        assert len(data) <= 112_000 and all(w in data for w in whole if len(w) < 10_000)
+    params = {k: zstandard.ZstdCompressionParameters.from_level(7, dict_size=len(d), source_size=1500, write_content_size=0, write_dict_id=0) for k, d in content.items()}
+    coder = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params[k]) for k, d in content.items()}
+    for r in langid.identify(spark, docs, content).collect():
+        data = langid.plain(r["text"] or "")
+        if r["lang_pred"] == "und":
+            assert not any(c.isalpha() for c in r["text"] or "") and r["score"] == 0
+            continue
+        size = {k: sum(len(c.compress(data[i : i + 1500])) for i in range(0, len(data), 1500)) for k, c in coder.items()}
+        best, second = sorted(size.values())
+        assert size[r["lang_pred"]] == best and (best < second or r["lang_pred"] == "en")
+        assert abs(r["score"] - min(1, (second - best) / second / 0.1)) < 1e-9
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -237,7 +353,7 @@ def test_swaps_take_the_weight_from_identity_terms():
         y.append(i % 2)
     f.add([w for t in texts for w in t] + ["women", "men"])
     x = [f.of(t) for t in texts]
-    swaps = [s for t in texts for s in toxicity.swapped(t, ("women", "men"), f)]
+    swaps = [s for t in texts for s in toxicity.swapped(t, [("women", "men")], f)]
 
     def gap(model):
         w, b = model
@@ -247,6 +363,28 @@ def test_swaps_take_the_weight_from_identity_terms():
     assert gap(held) < 0.2 * gap(free) and held[0][f.of(["idiot"])].sum() > 1
 
 
+def test_neutral_mentions_move_no_score(spark):
+    """On the driver's own sentences, which hold no identity term: each is compared with itself after a mention."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    x, y, swaps = toxicity.gathered(docs, labels)
+    assert len(swaps) >= len(x) > 100
+    w, b = toxicity.train(x, y, swaps)
+    assert max(abs(float(w[gained].sum() - w[lost].sum())) for lost, gained in swaps) < 0.05
+    free = toxicity.train(x, y)
+    wrong = sum((w[r].sum() + b > 0) != v for r, v in zip(x, y, strict=True))
+    assert free[0].any() and wrong <= 0.1 * len(x)
+
+
+def test_toxicity_keeps_ties_and_takes_one_text_of_a_label(spark, docs_of):
+    rows = [(1, "same words here", "en", "s"), (2, "same words here", "en", "s"), (2, "same words here", "en", "s"), (3, "other", "en", "s"), (3, "another text", "en", "s")]
+    labels = labels_of(spark, [(1, 1, 1), (3, 0, 0), (3, 0, None), (9, 1, 1)])
+    x, y, _ = toxicity.gathered(docs_of(rows), labels)
+    assert y.tolist() == [1, 0]
+    got = toxicity.op2_toxicity(spark, docs_of(rows), labels).collect()
+    assert len(got) == 5 and len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
+
+
 def test_empty_tables(spark, docs_of):
     none = docs_of([])
     assert bpe.op3_bpe(spark, none).count() == 0

@@ -68,6 +68,8 @@ def test_products_beyond_doubles():
     big = np.full((1, 4), 2**31, dtype=np.int64)
     assert vectors._products(big, np.array([[1, 1, 1, 3]])).tolist() == [[6 * 2**31]]
     assert vectors._products(big, big).tolist() == [[2**63 - 1]]
+    least = np.full((1, 1), -(2**63), dtype=np.int64)
+    assert vectors._products(least, least).tolist() == [[2**63 - 1]] and vectors._products(least, -(least + 1)).tolist() == [[-(2**63)]]
 
 
 def test_neighbours(spark, rows):
@@ -103,11 +105,35 @@ def test_no_query_has_too_few_neighbours(spark, n):
         assert q or [i for _, i in mine] == [i for _, i in scores]
 
 
-def test_probes_come_in_the_order_of_distance():
-    t = vectors.Tables(5, 1, 3, 1.0, 27)
-    q = np.random.default_rng(0).normal(size=(4, 5))
-    keys = t.probe(0, q)
-    assert (keys[:, 0] == t.keys(0, q)).all() and len(set(keys[0].tolist())) == 27
+def test_cells_are_visited_by_their_chance():
+    """The estimate against counting: of points at a distance, so many fall into the cells that hold half the chance."""
+    t, r = vectors.Tables(40, 1, 2, 1.0, 0.8), np.random.default_rng(0)
+    q = r.normal(size=(20, 40))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    chance = t.success(0, q)
+    assert np.allclose(chance.sum(axis=1), 1, atol=1e-6)
+    hits = 0
+    for i in range(20):
+        step = r.normal(size=(500, 40))
+        cells = t.cells(0, q[i] + 0.8 * step / np.linalg.norm(step, axis=1)[:, None])
+        order = np.argsort(-chance[i])
+        hits += np.isin(cells, order[: np.searchsorted(np.cumsum(chance[i][order]), 0.5) + 1]).mean() / 20
+    assert 0.4 < hits < 0.75
+
+
+@pytest.mark.parametrize("block", [40, 16384])
+def test_neighbours_in_many_blocks(spark, rows, block):
+    """Blocks of cells, split cells and several query blocks give the same as one block, but for what cells cut off."""
+    from pyspark.sql import functions as F
+
+    held = frame(spark, rows).where(vectors.usable(F.col("embedding")) & F.col("vec_id").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    mine = held.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    got = vectors.near(spark, mine, F.col("id") % 20 == 0, block=block, query_block=7 if block == 40 else 4096, success=2.0).collect()
+    exact = [(i, padded(v, False)) for i, v in rows if i is not None and usable(v) and any(v)]
+    for q in (40, 900, 1180):
+        v = next(w for i, w in exact if i == q)
+        want = sorted((-float((v * w).sum()), i) for i, w in exact if i != q)[:20]
+        assert [i for _, i in want] == [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]  # all cells: exact
 
 
 def test_empty_vectors(spark):
@@ -137,7 +163,43 @@ def test_page_without_main_element():
 
 def test_raw_elements_behind_letters_that_lower_case_lengthens():
     page = "<article><p>" + "\u0130" * 40 + "</p><SCRIPT>var x = '<p>no</p>';</ScRipt><p>All of this is main text.</p><style>p{}</STYLE><p>And so is this.</p></article>"
-    assert [b.text for b in html.blocks(page)] == ["\u0130" * 40, "All of this is main text.", "And so is this."]
+    assert [b.text for b in html.Parser(page).blocks] == ["\u0130" * 40, "All of this is main text.", "And so is this."]
+
+
+MANY = "word " * 60
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<nav><a>x</a></nav><div class="content with-sidebar"><h1>Title of this</h1><p>{MANY}</p><p>Short one.</p></div><div class="sidebar"><p>Side words are here</p></div>', ["Title of this", MANY, "Short one."]),
+        (f'<form id="aspnetForm"><div><a>Home</a> <a>News</a></div><div><h1>Title here</h1><p>{MANY}</p></div></form>', ["Title here", MANY]),
+        (f'<article><header class="entry-header"><h1>The title</h1></header><p>{MANY}</p></article>', ["The title", MANY]),
+        (f'<article><section class="legal-analysis"><h2>Law</h2><p>{MANY}</p></section><p>More.</p></article><footer>Legal</footer>', ["Law", MANY, "More."]),
+        (f"<div class=zz><p>We use cookies on this page and you agree to it.</p></div><article><h1>A</h1><p>{MANY}</p></article><div><p>Sponsored: buy this thing now, it is cheap</p></div>", ["A", MANY]),
+        (f"<article><p>One <button>Copy link</button> two {MANY}</p></article>", ["One two " + MANY]),
+        (f"<div>{MANY}</div><article><p>One.</p><p><a href=x>Two</a></p><p>Three</p></article>", ["One.", "Two", "Three"]),
+    ],
+)
+def test_ordinary_pages(page, want):
+    assert html.main_text(f"<body>{page}", html.trained()) == "\n\n".join(w.strip() for w in want)
+
+
+def test_the_tree_looks_at_words_and_neighbours():
+    x, y = html.table()
+    assert {"words", "links"} < html.trained().used() and html.trained().used() & {"words_before", "words_after", "links_before", "links_after"}
+    assert (html.trained().predict(x) == y).mean() > 0.99
+    words = html.Tree(x[:, :6], y)  # without any look at the page's structure
+    assert (words.predict(x[:, :6]) == y).mean() > 0.9
+
+
+@pytest.mark.parametrize("bad", ["<a '", "<![CDATA[", '<a "x', '<a b="x', "<!--", "<script>", "<", "</b>", "<b><div>", "<ul><span><li></li>", "<dd></dd>", "<table><td>"])
+def test_broken_pages_take_linear_time(bad):
+    import time
+
+    began = time.process_time()
+    html.main_text("<div>" * 20_000 + bad * (500_000 // len(bad)), html.trained())
+    assert time.process_time() - began < 10  # about one second; a quadratic way takes minutes
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</p>", "<a href='", "<script>never closed", "<!-- never closed", "&#0;&bad;", "<p>" * 3000, "<div><span>" * 2000])
