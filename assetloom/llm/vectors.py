@@ -1,21 +1,20 @@
 """Vector searches: exact top-k by norm buckets, and approximate neighbours by multiprobe p-stable hashing.
 
-Both split the candidates into blocks of bounded size, send every block of queries to the candidate blocks that can
+Both split the candidates into blocks of bounded size (by length, or by hash cell), send queries to the blocks that can
 hold answers, and keep the best of each pair of blocks; a rank over each query's few rows ends the search. A
-vector that occurs in a third of the rows spreads over all blocks like any other.
+vector that occurs in a third of the rows spreads over blocks like any other.
 
 Defined results (both): rows with a null id, or a vector that is null or holds a null or non-finite component, take
 no part (the approximate search also leaves out zero vectors); vectors of different lengths count as padded with
 zeros; rows with the query's own id are its own and never its answers; a query id that occurs in several rows stands
-for the smallest of its vectors; ties go to the smaller id; fewer candidates than k give fewer rows; other columns
-are ignored.
+for the smallest of its vectors; ties go to the smaller id; fewer candidates than k give fewer rows, an empty table none;
+repeated rows are candidates each; products and components beyond a long end at its bounds; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assetloom.llm.common import staged
+
 SLACK = 1e-9  # for bounds that are computed in floating point
 
 
@@ -77,7 +78,8 @@ def _queries(rows: DataFrame, is_query: Column) -> DataFrame:
 
 def _products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer products, rows of p by rows of q."""
-    most = int(np.abs(p).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, p.shape[1])
+    largest = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))  # noqa: E731  of the least long, abs() is negative
+    most = largest(p) * largest(q) * max(1, p.shape[1])
     if most < 2**53:
         return (p.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
     if most < 2**63:
@@ -158,12 +160,12 @@ class Bucket:
         return i, self.ids[rows[best]], score[best]
 
 
-def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 10, ratio: float = 1.05, block: int = 8192, query_block: int = 2048, longest: int = 4096) -> DataFrame:
+def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 10, ratio: float = 1.05, block: int = 8192, query_block: int = 8192, longest: int = 4096) -> DataFrame:
     """Exact k highest integer products: query_id, rank, vec_id, score. rows: id long, v array<long>.
 
     Candidates are grouped by length into bands, each at most ``ratio`` long, and bands into blocks. The products with
     the ``longest`` vectors (a bounded set, sent to all) give each query a first threshold; a band whose longest vector
-    can't reach it is never visited by that query."""
+    can't reach it is never visited by that query. Candidates of a band meet the blocks of the queries that visit it."""
     rows = rows.withColumn("norm", _norm(F.col("v")))
     band = F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.lit(math.log(ratio)))).otherwise(F.lit(-(10**6))).cast("long")
     rows = rows.withColumn("band", band)
@@ -173,11 +175,10 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int =
         return _ranked(spark.createDataFrame([], schema), k)
     top = rows.orderBy(F.desc("norm"), "id").limit(longest).select("id", "v").toArrow()
     seeds = spark.sparkContext.broadcast((top["id"].to_numpy(), _matrix(top["v"], np.int64)))  # `longest` vectors
-    table = spark.sparkContext.broadcast([(r["band"], -(-r["n"] // block), r["most"]) for r in bands])
-    n_queries = max(1, -(-rows.where(is_query).count() // query_block))
+    table = spark.sparkContext.broadcast([(r["band"], r["most"]) for r in bands])
 
     def reach(batches):
-        """Each query once for every block that it must visit."""
+        """Each query with its first threshold and the bands that it must visit."""
         s_ids, s = seeds.value
         for b in batches:
             if not b.num_rows:
@@ -190,15 +191,19 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int =
                 if len(own) >= k:
                     theta[i] = np.partition(own, len(own) - k)[len(own) - k]
             norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-            for band, blocks, most in table.value:
-                near = np.flatnonzero((theta <= 0) | (theta * (1 - SLACK) <= norm * most))
-                for salt in range(blocks):
-                    yield pa.RecordBatch.from_arrays([b["id"].take(near), b["v"].take(near), pa.array(theta[near]), pa.array(np.full(len(near), band)), pa.array(np.full(len(near), salt)), b["qb"].take(near)], names=["id", "v", "theta", "band", "salt", "qb"])
-
-    queries = _queries(rows, is_query).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("long"))
-    visits = queries.mapInArrow(reach, "id long, v array<long>, theta double, band long, salt long, qb long")
-    salts = spark.createDataFrame([(r["band"], -(-r["n"] // block)) for r in bands], "band long, blocks long")
-    blocks = rows.join(F.broadcast(salts), "band").select("id", "v", "band", F.pmod(F.xxhash64("id", "v"), "blocks").alias("salt"), _each(n_queries).alias("qb"))
+            visited = [[band for band, most in table.value if theta[i] <= 0 or theta[i] * (1 - SLACK) <= norm[i] * most] for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(theta), pa.array(visited, pa.list_(pa.int64()))], names=["id", "v", "theta", "bands"])
+
+    queries = staged(spark, _queries(rows, is_query).mapInArrow(reach, "id long, v array<long>, theta double, bands array<long>"), "queries")
+    # A band's candidates go only to the blocks of queries that visit the band; a band without a visit stays where it is.
+    asked = {r["band"]: r["n"] for r in queries.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
+    shape = [(r["band"], -(-r["n"] // block), -(-asked[r["band"]] // query_block)) for r in bands if r["band"] in asked]
+    if not shape:
+        return _ranked(spark.createDataFrame([], schema), k)
+    shape = F.broadcast(spark.createDataFrame(shape, "band long, blocks long, q_blocks long"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    visits = queries.select("id", "v", "theta", F.explode("bands").alias("band")).join(shape, "band").withColumn("qb", F.pmod(F.xxhash64("id"), "q_blocks")).select("id", "v", "theta", "band", "qb", all_of("blocks").alias("salt"))
+    blocks = rows.join(shape, "band").select("id", "v", "band", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), "blocks").alias("salt"), all_of("q_blocks").alias("qb"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -217,7 +222,7 @@ def _each(n: int) -> Column:
 
 def _cogrouped(blocks: DataFrame, visits: DataFrame, search: Callable, schema: str) -> DataFrame:
     keys = ["band", "salt", "qb"]
-    return blocks.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(search, schema)
+    return blocks.groupBy(*keys).cogroup(visits.select(*[F.col(c).alias(f"q_{c}") if c in keys else c for c in visits.columns]).groupBy(*[f"q_{c}" for c in keys])).applyInArrow(search, schema)
 
 
 def op1_exact_top_k(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
@@ -230,101 +235,204 @@ def op1_exact_top_k(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Hash tables of p-stable (Gaussian) projections; the same functions everywhere, drawn from a seed."""
+    """Hash tables of p-stable (Gaussian) projections of points on the unit sphere; the same functions everywhere, drawn
+    from a seed. A cell is a step of ``width`` in each projection; the outermost of 2 * REACH + 1 steps are open."""
 
-    def __init__(self, dims: int, tables: int, hashes: int, width: float, probes: int, seed: int = 7):
+    REACH = 6
+
+    def __init__(self, dims: int, tables: int, hashes: int, width: float, distance: float, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.width, self.probes = width, min(probes, 3**hashes)
-        self.a = rng.normal(size=(tables, dims, hashes))
+        self.width, self.distance, self.hashes, self.side = width, distance, hashes, 2 * self.REACH + 1
+        self.a = rng.normal(size=(tables, hashes, dims))  # of more dimensions, the first are not the same
         self.b = rng.uniform(0, 1, size=(tables, hashes))
-        self.mix = rng.integers(1, 2**62, size=hashes)
-        steps = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)), dtype=np.int64)
-        self.down, self.up, self.step = (steps == -1).astype(float), (steps == 1).astype(float), (steps * self.mix).sum(axis=1)
+        every = np.indices((self.side,) * hashes).reshape(hashes, -1)
+        self.every = every  # all cells, each a step in each projection
+
+    def _projected(self, t: int, x: np.ndarray) -> np.ndarray:
+        return x @ self.a[t].T / self.width + self.b[t]
+
+    def cells(self, t: int, x: np.ndarray) -> np.ndarray:
+        steps = np.clip(np.floor(self._projected(t, x)), -self.REACH, self.REACH).astype(np.int64) + self.REACH
+        return steps @ self.side ** np.arange(self.hashes - 1, -1, -1)
+
+    def success(self, t: int, q: np.ndarray) -> np.ndarray:
+        """For each query and cell, the estimated probability that a point at ``distance`` lies in the cell: its projections
+        differ from the query's by a normal amount."""
+        edge = np.arange(-self.REACH, self.REACH + 2, dtype=float)
+        edge[0], edge[-1] = -np.inf, np.inf
+        below = _normal_below((edge - self._projected(t, q)[:, :, None]) * (self.width / self.distance))
+        each = np.diff(below, axis=2)  # query, projection, step
+        out = np.ones((len(q), self.every.shape[1]))
+        for j in range(self.hashes):
+            out *= each[:, j][:, self.every[j]]
+        return out
 
-    def _cells(self, t: int, x: np.ndarray) -> np.ndarray:
-        return x @ self.a[t] / self.width + self.b[t]
 
-    def keys(self, t: int, x: np.ndarray) -> np.ndarray:
-        return (np.floor(self._cells(t, x)).astype(np.int64) * self.mix).sum(axis=1)
+def _normal_below(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function, within 1e-7 (Abramowitz and Stegun 26.2.17)."""
+    # The published coefficients.
+    c = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    a = np.minimum(np.abs(x), 40.0)
+    k = 1 / (1 + 0.2316419 * a)
+    tail = np.exp(-a * a / 2) / math.sqrt(2 * math.pi) * (k * (c[0] + k * (c[1] + k * (c[2] + k * (c[3] + k * c[4])))))
+    return np.where(x > 0, 1 - tail, tail)
 
-    def probe(self, t: int, q: np.ndarray) -> np.ndarray:
-        """Bucket keys for each query, in the order of estimated success: by the sum of squared distances from the
-        query's projections to the perturbed cells."""
-        z = self._cells(t, q)
-        cell = np.floor(z)
-        cost = ((z - cell) ** 2) @ self.down.T + ((1 - z + cell) ** 2) @ self.up.T
-        some = np.argpartition(cost, self.probes - 1, axis=1)[:, : self.probes]
-        some = np.take_along_axis(some, np.argsort(np.take_along_axis(cost, some, 1), axis=1, kind="stable"), 1)
-        return (cell.astype(np.int64) * self.mix).sum(axis=1)[:, None] + self.step[some]
 
+def _raised(x: np.ndarray, norm: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """x on the unit sphere, by one more component that brings each to the longest of its range."""
+    unit = x / longest[:, None]
+    return np.column_stack([unit, np.sqrt(np.maximum(0.0, 1 - (norm / longest) ** 2))])
 
-def near(spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, tables: int = 14, hashes: int = 8, width: float = 1.5, probes: int = 400, block: int = 16384, query_block: int = 1024) -> DataFrame:
+
+def near(
+    spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, tables: int = 2, hashes: int = 3, width: float = 1.0, distance: float = 1.0, success: float = 0.75, block: int = 16384, query_block: int = 4096
+) -> DataFrame:
     """Approximately the k largest inner products: query_id, rank, vec_id, score. rows: id long, v array<double>.
 
     Inner products become distances: each candidate gets one more component that brings its length to the longest of
     its range (lengths within a factor of 2), and queries are scaled to that length, so that the nearest point of a
-    range has the largest product. ``width`` is in units of that length, so nothing is fitted. Every row is in every table; candidates of all tables and probes are
-    merged and reranked exactly; where they are fewer than k in a block, the whole block is ranked."""
-    rows = rows.withColumn("norm", _norm(F.col("v")))
-    n, longest = rows.agg(F.count("*"), F.max("norm")).first()
+    range has the largest product. Every candidate is in one cell of each table, and is sent once a table: neighbouring
+    cells share blocks of about ``block`` candidates, and a cell of more is split. A query visits cells of each table
+    from the likeliest on, until they hold ``success`` of the estimated probability of a point at ``distance`` (the
+    sphere's radius is 1), and is sent to these cells' blocks only. There the visited cells' candidates are ranked by exact
+    products, and the tables' answers are merged. Queries that met fewer than k candidates are compared with all rows.
+
+    The number of cells is bounded by their geometry (tables * 21 ranges * 13 ** hashes); their counts go to all workers."""
     schema = "query_id long, vec_id long, score double"
+    rows = rows.withColumn("norm", _norm(F.col("v")))
+    n, most, dims = rows.agg(F.count("*"), F.max("norm"), F.max(F.size("v"))).first()
     if not n:
         return _ranked(spark.createDataFrame([], schema), k)
-    salts, q_blocks = -(-n // block), max(1, -(-rows.where(is_query).count() // query_block))
-    blocks = rows.select("id", "v", F.lit(0).cast("long").alias("band"), F.pmod(F.xxhash64("id", "v"), F.lit(salts)).cast("long").alias("salt"), _each(q_blocks).alias("qb"))
+    hashed = Tables(dims + 1, tables, hashes, width, distance)
+    rows = rows.withColumn("range", F.least(F.floor(F.log2(F.lit(most) / F.col("norm"))), F.lit(20)).cast("long"))
+
+    def cells_of(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        x = _matrix(b["v"], np.float64)
+        x = np.pad(x, ((0, 0), (0, dims - x.shape[1])))
+        unit = _raised(x, b["norm"].to_numpy(), most * 0.5 ** b["range"].to_numpy().astype(float))
+        for t in range(tables):
+            yield t, hashed.cells(t, unit)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                for t, c in cells_of(b):
+                    cell, place = np.unique(np.column_stack([b["range"].to_numpy(), c]), axis=0, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), t)), pa.array(cell[:, 0].copy()), pa.array(cell[:, 1].copy()), pa.array(np.bincount(place.ravel(), minlength=len(cell)))], names=["t", "range", "cell", "n"])
+
+    count = rows.select("v", "norm", "range").mapInArrow(counted, "t long, range long, cell long, n long").groupBy("t", "range", "cell").agg(F.sum("n").alias("n")).collect()
+    # Blocks: runs of cells, in the order of the first projection; a cell beyond `block` gets several blocks of its own.
+    first, parts, at, held, before = {}, {}, -1, block, None
+    for t, r, c, m in sorted(map(tuple, count)):
+        if held + m > block or before != (t, r):
+            at, held = at + 1, 0
+        first[t, r, c], parts[t, r, c] = at, -(-m // block)
+        at, held, before = at + parts[t, r, c] - 1, held + m if parts[t, r, c] == 1 else block, (t, r)
+    ranges = sorted({r for _, r, _ in first})
+    known = {(t, r): np.array(sorted(c for u, s, c in first if (u, s) == (t, r)), dtype=np.int64) for t in range(tables) for r in ranges}
+    blocks_of = {key: (np.array([first[(*key, c)] for c in cells.tolist()]), np.array([parts[(*key, c)] for c in cells.tolist()])) for key, cells in known.items()}
+    plan = spark.sparkContext.broadcast((known, blocks_of))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            known, blocks_of = plan.value
+            ids, r = b["id"].to_numpy(), b["range"].to_numpy()
+            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) + np.arange(len(ids))  # rows of one id spread too
+            for t, c in cells_of(b):
+                at = np.empty(len(ids), dtype=np.int64)
+                for s in np.unique(r).tolist():
+                    some = np.flatnonzero(r == s)
+                    j = np.searchsorted(known[t, s], c[some])
+                    at[some] = blocks_of[t, s][0][j] + salt[some] % blocks_of[t, s][1][j]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c), b["id"], b["v"]], names=["block", "cell", "id", "v"])
+
+    def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, blocks_of = plan.value
+        for whole in batches:
+            for k0 in range(0, whole.num_rows, 256):
+                b = whole.slice(k0, 256)
+                q = _matrix(b["v"], np.float64)
+                q = np.pad(q, ((0, 0), (0, dims + 1 - q.shape[1])))
+                q = q / np.sqrt((q**2).sum(axis=1))[:, None]
+                out: tuple[list, list, list] = ([], [], [])
+                for t in range(tables):
+                    chance = hashed.success(t, q)
+                    for r in ranges:
+                        cells = known[t, r]
+                        at, more = blocks_of[t, r]
+                        p = chance[:, cells]
+                        order = np.argsort(-p, axis=1, kind="stable")
+                        sure = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
+                        for i in range(len(q)):
+                            some = np.sort(order[i, : np.searchsorted(sure[i], success) + 1])
+                            edge = np.flatnonzero(np.diff(at[some], prepend=-1))
+                            for s, own in zip(edge, np.split(some, edge[1:]), strict=True):
+                                for part in range(more[own[0]]):
+                                    out[0].append(at[some[s]] + part)
+                                    out[1].append(i)
+                                    out[2].append(cells[own])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), b["id"].take(pa.array(out[1], pa.int64())), b["v"].take(pa.array(out[1], pa.int64())), b["qb"].take(pa.array(out[1], pa.int64()))], names=["at", "cells", "id", "v", "qb"])
+
+    q_blocks = max(1, -(-rows.where(is_query).count() // query_block))
     queries = _queries(rows, is_query).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("long"))
-    visits = queries.select("id", "v", F.lit(0).cast("long").alias("band"), _each(salts).alias("salt"), "qb")
+    queries = queries.where(F.exists("v", lambda x: x != 0))
+    candidates = rows.select("id", "v", "norm", "range").mapInArrow(placed, "block long, cell long, id long, v array<double>")
+    visits = queries.mapInArrow(visiting, "at long, cells array<long>, id long, v array<double>, qb long")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return none
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x, q = _widened(_matrix(left["v"], np.float64), _matrix(right["v"], np.float64))
-        ids, q_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        aim = np.pad(q, ((0, 0), (0, 1)))
-        aim = aim / np.sqrt((aim**2).sum(axis=1))[:, None]
-        hashed = Tables(q.shape[1] + 1, tables, hashes, width, probes)
-        norm = np.sqrt((x**2).sum(axis=1))
-        index = []
-        range_of = np.minimum(np.floor(np.log2(np.maximum(longest / norm, 1))), 20)
-        for r in np.unique(range_of):
-            held = np.flatnonzero(range_of == r)
-            unit = x[held] / norm[held].max()
-            unit = np.column_stack([unit, np.sqrt(np.maximum(0.0, 1 - (unit**2).sum(axis=1)))])
-            for t in range(tables):
-                keys = hashed.keys(t, unit)
-                order = np.argsort(keys, kind="stable")
-                some, start = np.unique(keys[order], return_index=True)
-                index.append((t, some, np.append(start, len(keys)), held[order]))
-        out: tuple[list, list, list] = ([], [], [])
-        for at in range(0, len(q), 64):
-            probes_of = [hashed.probe(t, aim[at : at + 64]) for t in range(tables)]
-            for i in range(at, min(at + 64, len(q))):
-                seen = np.zeros(len(ids), dtype=bool)
-                for t, some, start, order in index:
-                    keys = probes_of[t][i - at]
-                    place = np.minimum(np.searchsorted(some, keys), len(some) - 1)
-                    for j in place[some[place] == keys].tolist():
-                        seen[order[start[j] : start[j + 1]]] = True
-                rows = np.flatnonzero(seen & (ids != q_ids[i]))
-                if len(rows) < k:  # too few were seen: the whole block
-                    rows = np.flatnonzero(ids != q_ids[i])
-                if not len(rows):
-                    continue
-                rough = x[rows] @ q[i]
-                if len(rows) > k:  # exact products only where rounding can matter
-                    least = np.partition(rough, len(rough) - k)[len(rough) - k]
-                    rows = rows[rough >= least - 1e-9 * (1 + abs(least))]
-                score = (x[rows] * q[i]).sum(axis=1)
-                best = _best(score, ids[rows], k)
-                out[0].append(np.full(len(best), q_ids[i]))
-                out[1].append(ids[rows[best]])
-                out[2].append(score[best])
-        if not out[0]:
-            return none
-        return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    return _ranked(_cogrouped(blocks, visits, search, schema), k)
+        cell, of = np.unique(left["cell"].to_numpy(), return_inverse=True)
+        met = np.zeros((len(q), len(cell)), dtype=bool)
+        for i, own in enumerate(right["cells"].to_pylist()):
+            j = np.searchsorted(cell, own)
+            j = j[(j < len(cell)) & (cell[np.minimum(j, len(cell) - 1)] == own)]
+            met[i, j] = True
+        return _searched(x, left["id"].to_numpy(), q, right["id"].to_numpy(), k, lambda i: met[i][of])
+
+    # Blocks of queries beyond the first take candidates once more; a query block is large, so that these are few.
+    if q_blocks > 1:
+        candidates = candidates.withColumn("qb", _each(q_blocks))
+    else:
+        candidates = candidates.withColumn("qb", F.lit(0).cast("long"))
+    found = candidates.groupBy("block", "qb").cogroup(visits.groupBy("at", "qb")).applyInArrow(search, schema)
+    found = staged(spark, found.distinct(), "found")
+
+    few = min(k, n - 1)
+    counts = found.groupBy("query_id").count().where(F.col("count") >= few)
+    lonely = queries.join(counts, queries["id"] == counts["query_id"], "left_anti").select("id", "v", "qb")
+    if lonely.limit(1).count():
+        lonely = staged(spark, lonely, "lonely")
+        salts = -(-n // block)
+        left = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(salts)).cast("long").alias("block"), F.lit(0).cast("long").alias("cell"))
+        there = lonely.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("at"), F.array(F.lit(0).cast("long")).alias("cells"), "id", "v")
+        found = found.union(left.groupBy("block").cogroup(there.groupBy("at")).applyInArrow(search, schema)).distinct()
+    return _ranked(found, k)
+
+
+def _searched(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, met: Callable) -> pa.Table:
+    """The k highest products of each query among the candidates that it met; products as sums in the order of components."""
+    out: tuple[list, list, list] = ([], [], [])
+    for at in range(0, len(q), 64):
+        rough = x @ q[at : at + 64].T
+        for i in range(at, min(at + 64, len(q))):
+            rows = np.flatnonzero(met(i) & (ids != q_ids[i]))
+            if not len(rows):
+                continue
+            own = rough[rows, i - at]
+            if len(rows) > k:  # exact products only where rounding can matter
+                least = np.partition(own, len(own) - k)[len(own) - k]
+                rows = rows[own >= least - 1e-9 * (1 + abs(least))]
+            score = (x[rows] * q[i]).sum(axis=1)
+            best = _best(score, ids[rows], k)
+            out[0].append(np.full(len(best), q_ids[i]))
+            out[1].append(ids[rows[best]])
+            out[2].append(score[best])
+    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({name: np.concatenate([e, *v]) for name, v, e in zip(("query_id", "vec_id", "score"), out, empty, strict=True)})
 
 
 def op6_near(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
