@@ -1,9 +1,10 @@
 """Near pairs of 64-bit hashes and their groups.
 
-Hashes are cut into t + k bands; two within t bits agree in k of them at least. Each choice of k bands is a key, wide
-enough (as a power of two, the number of hashes) that hashes which aren't near seldom share one: candidates grow with
-the table, not with its square. Equal hashes are one class from the start, so that a value that many files share (flat
-pictures) makes no pairs with itself."""
+Hashes are cut into t + g (k - 1) + 1 bands in g groups; two within t bits differ in t bands at most, so that in one group
+they agree in k bands at least. Each choice of k bands of one group is a key. Groups and k follow from the number of hashes:
+more and wider keys where narrow ones would meet too many hashes that aren't near, so that candidates don't grow with the
+square of the table. Equal hashes are one class from the start, so that a value that many files share (flat pictures) makes
+no pairs with itself."""
 
 from __future__ import annotations
 
@@ -18,29 +19,33 @@ from assetloom.operators.components import components
 
 #: Keys of a hash at most; beyond, keys stay narrower.
 MOST_KEYS = 512
+#: Candidates that take as long as one key of one hash, and rows of keys that one task makes.
+CANDIDATES, TASK_ROWS = 16, 1_000_000
 
 
-def bands(h: Column, n: int) -> list[Column]:
-    """n bands of nearly equal width."""
-    out, at = [], 0
-    for i in range(n):
-        width = 64 // n + (i >= n - 64 % n)
-        part = F.shiftrightunsigned(h, at)
-        out.append(part.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else part)
-        at += width
-    return out
+def bands(n: int) -> list[int]:
+    """n bands of 64 bits, of nearly equal width, as masks."""
+    edge = [64 * i // n for i in range(n + 1)]
+    return [(1 << b) - (1 << a) for a, b in itertools.pairwise(edge)]
 
 
 def _long(x: int) -> Column:
     return F.lit(x - 2**64 if x >= 2**63 else x).cast("long")
 
 
-def bands_in_key(max_distance: int, hashes: int) -> int:
-    """How many bands make a key: the fewest that tell so many hashes apart, as far as MOST_KEYS lets."""
-    k = 1
-    while k * 64 // (max_distance + k) < max(1, hashes).bit_length() and max_distance + k < 64 and math.comb(max_distance + k + 1, k + 1) <= MOST_KEYS:
-        k += 1
-    return k
+def band_groups(max_distance: int, hashes: int) -> tuple[list[range], int]:
+    """Groups of bands and how many bands of a group make a key: the cheapest for so many hashes, as far as MOST_KEYS lets."""
+    best = None
+    for g, k in itertools.product(range(1, 9), range(1, 33)):
+        n = max_distance + g * (k - 1) + 1
+        if n > 64:
+            continue
+        groups = [range(n * i // g, n * (i + 1) // g) for i in range(g)]
+        keys = sum(math.comb(len(x), k) for x in groups)
+        cost = keys * (1 + hashes / 2 ** (64 * k / n) / CANDIDATES)
+        if keys <= MOST_KEYS and (best is None or cost < best[0]):
+            best = cost, groups, k
+    return best[1:]
 
 
 def near_hashes(hashes: DataFrame, max_distance: int, phash: str = "phash") -> DataFrame:
@@ -48,17 +53,30 @@ def near_hashes(hashes: DataFrame, max_distance: int, phash: str = "phash") -> D
     if not 0 <= max_distance < 64:
         raise ValueError("max_distance lies between 0 and 63")
     one = hashes.where(F.col(phash).isNotNull()).select(F.col(phash).alias("h")).distinct()
-    k = bands_in_key(max_distance, one.count())
-    n = max_distance + k
-    keys = [F.struct(_long(sum(1 << i for i in c)).alias("which"), _long((2 << c[-1]) - 1).alias("upto"), F.xxhash64(*[F.get("cut", i) for i in c]).alias("value")) for c in itertools.combinations(range(n), k)]
-    rows = one.select("h", F.array(*bands(F.col("h"), n)).alias("cut")).select("h", F.inline(F.array(*keys)))
-    a, b = rows.withColumnRenamed("h", "a"), rows.select("which", "value", F.col("h").alias("b"))
+    count = one.count()
+    groups, k = band_groups(max_distance, count)
+    mask = bands(groups[-1].stop)
+    keys = [c for g in groups for c in itertools.combinations(g, k)]
+    # The last bits of a key tell which choice of bands it is.
+    low = MOST_KEYS - 1
+    made = [F.xxhash64(F.col("h").bitwiseAND(_long(sum(mask[i] for i in c)))).bitwiseAND(F.lit(~low).cast("long")).bitwiseOR(_long(j)) for j, c in enumerate(keys)]
+    rows = one.repartition(max(1, count * len(keys) // TASK_ROWS), "h").select(F.explode(F.array(*made)).alias("key"), F.col("h").alias("a"))
+    # Spark takes rows for as large as before explode, and would broadcast them.
+    pairs = rows.hint("merge").join(rows.select("key", F.col("a").alias("b")).hint("merge"), "key")
+    # A pair comes from the first group in which it agrees in k bands, and there from the first k of them, so no distinct
+    # is needed; this also drops what only shares a hash.
+    x, j = F.col("a").bitwiseXOR(F.col("b")), F.col("key").bitwiseAND(_long(low)).cast("int")
     agree = F.lit(0).cast("long")
-    for i, (x, y) in enumerate(zip(bands(F.col("a"), n), bands(F.col("b"), n), strict=True)):
-        agree = agree.bitwiseOR(F.when(x == y, _long(1 << i)).otherwise(_long(0)))
-    # A pair comes from the first k bands in which it agrees, so no distinct is needed; this also drops what only shares a hash.
-    pairs = a.join(b, ["which", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= max_distance) & (agree.bitwiseAND(F.col("upto")) == F.col("which")))
-    return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
+    for i, m in enumerate(mask):
+        agree = agree.bitwiseOR(F.when(x.bitwiseAND(_long(m)) == 0, _long(1 << i)).otherwise(_long(0)))
+    which = F.get(F.array(*[_long(sum(1 << i for i in c)) for c in keys]), j)
+    upto = F.get(F.array(*[_long((2 << c[-1]) - (1 << g.start)) for g in groups for c in itertools.combinations(g, k)]), j)
+    first, start = agree.bitwiseAND(upto) == which, 0
+    for g in groups[:-1]:
+        start += math.comb(len(g), k)
+        first = first & ((j < start) | (F.bit_count(agree.bitwiseAND(_long((1 << g.stop) - (1 << g.start)))) < k))
+    distance = hamming(F.col("a"), F.col("b"))
+    return pairs.where((F.col("a") < F.col("b")) & (distance <= max_distance) & first).select("a", "b", distance.alias("distance"))
 
 
 def near_groups(hashes: DataFrame, pairs: DataFrame, key: str, phash: str = "phash") -> DataFrame:

@@ -153,6 +153,31 @@ def test_bands_equal_brute_force(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+def test_near_hashes_broadcast_no_keys(spark):
+    df = spark.range(3000).select((F.xxhash64("id").bitwiseAND(F.lit(-8)) + F.col("id") % 3).alias("phash"))
+    got = similarity.near_hashes(df, 6)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # Spark takes exploded keys for as small as the hashes
+    assert "ReusedExchange" in plan  # and would make them twice
+
+
+def test_every_choice_of_bands_finds_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**63), 2**63, 60)
+    hashes = sorted({int(b) ^ int(np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 63, n))) for b in base for n in range(1, 9)})
+    df = spark.createDataFrame([(h,) for h in hashes], "phash long")
+    real, shapes = similarity.band_groups, set()
+    for t, of in ((6, 1), (6, 30_000), (6, 3_000_000), (10, 30_000)):
+        groups, k = real(t, of)
+        shapes.add((len(groups), k))
+        monkeypatch.setattr(similarity, "band_groups", lambda *a, found=(groups, k): found)
+        want = {(a, b) for a in hashes for b in hashes if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= t}
+        got = similarity.near_hashes(df, t).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    assert len(shapes) == 4
+
+
 def test_groups_of_long_chains(spark):
     ring = [((1 << i) - 1) if i <= 64 else (2**64 - 1) ^ ((1 << (i - 64)) - 1) for i in range(120)]  # each a bit from the next
     rows = [(i, h - 2**64 if h >= 2**63 else h) for i, h in enumerate(ring)]
