@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -132,3 +133,10 @@ def removed(spark: SparkSession, table: DataFrame) -> None:
     """Deletes a staged table that nothing will read again."""
     for name in table.inputFiles()[:1]:
         _remove(spark, name.rpartition("/")[0])
+
+
+def released() -> None:
+    """Hands memory that this worker has freed back to the system; a reused worker would keep it while others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's only
+        ctypes.CDLL(None).malloc_trim(0)

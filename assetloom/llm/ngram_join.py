@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetloom.llm.common import mix64, removed, slices, staged, word_hashes
+from assetloom.llm.common import mix64, released, removed, slices, staged, word_hashes
 from assetloom.llm.components import components
 
 WIDTH = 5
@@ -151,6 +151,8 @@ def _packed(docs: DataFrame, ranges: int) -> DataFrame:
 
         def emitted() -> pa.RecordBatch:
             sig, who = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((sigs, _U), (whose, np.uint16)))
+            sigs.clear()
+            whose.clear()
             at = ((sig >> _U(32)) * _U(ranges) >> _U(32)) << _U(32) | sig & _U(0xFFFFFFFF)
             del sig
             order = np.argsort(at, kind="stable")
@@ -196,22 +198,42 @@ def _packed(docs: DataFrame, ranges: int) -> DataFrame:
                 known, sigs, whose, held = {}, [], [], 0
         if held:
             yield emitted()
+        known, sigs, whose = {}, [], []
+        released()
 
     return docs.mapInArrow(run, "range int, flush long, idx int, key long, n long, class long, data binary")
 
 
 def _single(table: pa.Table) -> pa.Table:
-    """For the packed rows of one range: for each flush, how many signatures of each of its classes occur nowhere else."""
-    flush, parts = table["flush"].to_numpy(), table["data"].to_pylist()
-    size = np.array([len(d) // 6 for d in parts])
-    at = np.concatenate([np.cumsum(np.frombuffer(d, np.uint8, 4 * k).reshape(4, k).T.copy().view(np.uint32).ravel(), dtype=np.uint32) for d, k in zip(parts, size.tolist(), strict=True)])
-    who = np.concatenate([np.frombuffer(d, np.uint16, k, 4 * k) for d, k in zip(parts, size.tolist(), strict=True)])
-    order = np.argsort(at, kind="stable")
-    same = np.diff(at[order].astype(np.int64)) == 0
-    alone = ~(np.append(same, False) | np.insert(same, 0, False)) & (who[order] != _MANY)
-    code, k = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size)[order][alone] << 16 | who[order][alone], return_counts=True)
-    edge = np.searchsorted(code >> 16, np.arange(len(size) + 1))
-    data = [(code[a:b] & 0xFFFF).astype(np.uint16).tobytes() + np.minimum(k[a:b], 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    """For the packed rows of one range: for each flush, how many signatures of each of its classes occur nowhere else.
+
+    What is sorted is sorted in place: a worker's memory is a few numbers for each signature of the range."""
+    flush, parts = table["flush"].to_numpy(), table["data"]
+    edge = np.append(0, np.cumsum([d.as_buffer().size // 6 for d in parts]))
+    at, who = np.empty(edge[-1], dtype=_U), np.empty(edge[-1], dtype=np.uint16)
+    for d, a, b in zip(parts, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        d, k = d.as_buffer(), b - a
+        at[a:b] = np.cumsum(np.frombuffer(d, np.uint8, 4 * k).reshape(4, k).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+        who[a:b] = np.frombuffer(d, np.uint16, k, 4 * k)
+    at <<= _U(32)
+    at |= np.arange(len(at), dtype=_U)  # less than 2^32 rows; the place of a signature tells its flush and class
+    at.sort()
+    same = np.zeros(len(at) + 1, dtype=bool)
+    for k in range(0, len(at) - 1, 1 << 16):
+        part = at[k : k + (1 << 16) + 1] >> _U(32)
+        same[k + 1 : k + len(part)] = part[1:] == part[:-1]
+    code = at[~(same[1:] | same[:-1])]
+    del at
+    code &= _U(0xFFFFFFFF)
+    code = code[who[code] != _MANY]
+    code.sort()
+    start = np.searchsorted(code, edge.astype(_U))
+    data = []
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        c, k = np.unique(who[code[a:b]], return_counts=True)
+        data.append(c.tobytes() + k.astype(np.uint32).tobytes())
+    del code, who
+    released()
     return pa.table({"flush": pa.array(flush, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
@@ -236,6 +258,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             own = [(c, s) for c, t in zip(b["class"].to_pylist(), b["text"].to_pylist(), strict=True) if len(s := shingles(t)) and class_key(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))], names=["class", "n", "set"])
+        released()
 
     return docs.mapInArrow(run, "class long, n long, set array<long>")
 
@@ -255,6 +278,7 @@ def _signatures(sets: DataFrame, bits: int) -> DataFrame:
             for low in (False, True):
                 of, sig, size, *_ = segmented(own, low)
                 yield pa.RecordBatch.from_arrays([pa.array((sig >> _U(64 - bits)).astype(np.int64)), pa.array(4 * node[of] + 2 * low + (size > 1))], names=["sig", "who"])
+        released()
 
     return sets.select("node", "set").mapInArrow(run, "sig long, who long")
 
@@ -267,6 +291,7 @@ def _neighbours(sets: DataFrame, bits: int) -> DataFrame:
             for low in (False, True):
                 _, sig, _, whole, without = segmented(own, low, neighbours=True)
                 yield pa.RecordBatch.from_arrays([pa.array((x >> _U(64 - bits)).astype(np.int64)) for x in (without, sig[whole])], names=["v", "whole"])
+        released()
 
     return sets.select("node", "set").mapInArrow(run, "v long, whole long")
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +396,38 @@ def test_empty_tables(spark, docs_of):
     assert mixing.op8_mixing(spark, none).count() == 0
     assert langid.op9_language_id(spark, none).count() == 0
     assert toxicity.op2_toxicity(spark, none, labels_of(spark, [])).count() == 0
+
+
+def packed_range(rng, flushes, per, top):
+    """A range of signatures as the join's first pass packs it, and (flush, class, signature) of each."""
+    data, flat = [], []
+    for f in range(flushes):
+        at = np.unique(rng.integers(0, top, per, dtype=np.uint64)).astype(np.uint32)
+        who = rng.integers(0, 900, len(at)).astype(np.uint16)
+        who[rng.random(len(at)) < 0.05] = 0xFFFF
+        data.append(np.diff(at, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() + who.tobytes())
+        flat += [(f, w, a) for w, a in zip(who.tolist(), at.tolist(), strict=True)]
+    return pa.table({"flush": pa.array([f << 24 for f in range(flushes)], pa.int64()), "data": pa.array(data, pa.binary())}), flat
+
+
+def test_join_counts_single_signatures():
+    for flushes, per, top in ((1, 1, 5), (3, 50, 60), (5, 40_000, 2**32), (4, 40_000, 200_000)):
+        table, flat = packed_range(np.random.default_rng(per), flushes, per, top)
+        times = Counter(a for *_, a in flat)
+        want = Counter((f, w) for f, w, a in flat if times[a] == 1 and w != 0xFFFF)
+        got = {}
+        for f, d in enumerate(ngram_join._single(table)["data"].to_pylist()):
+            k = len(d) // 6
+            got |= {(f, int(w)): int(c) for w, c in zip(np.frombuffer(d, np.uint16, k), np.frombuffer(d[2 * k :], np.uint32, k), strict=True)}
+        assert got == want
+
+
+def test_join_counts_in_little_memory():
+    table, flat = packed_range(np.random.default_rng(3), 10, 50_000, 2**32)
+    n = len(flat)
+    del flat
+    tracemalloc.start()
+    ngram_join._single(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * n
