@@ -24,6 +24,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import most_frequent, slices, staged
+from assetloom.llm.common import most_frequent, released, slices, small_batches, staged
 
 END = "</w>"
 NONE = np.iinfo(np.int64).max
+#: Of a worker: bytes of text that it splits at a time, words that it merges at a time, distinct words that it counts before it sends them.
+SLICE, MERGED, COUNTED = 1_000_000, 5_000, 100_000
 
 
 def byte_letters() -> list[str]:
@@ -122,7 +125,11 @@ class Merger:
         to = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.to = key[order], np.arange(len(pairs))[order], to[order]
-        self.pair = {k: (r, t) for k, r, t in zip(key.tolist(), range(len(pairs)), to.tolist(), strict=True)}
+
+    @cached_property
+    def pair(self) -> dict[int, tuple[int, int]]:
+        """Rank and result of each pair; only very long words need it."""
+        return {k: (r, t) for k, r, t in zip(self.key.tolist(), self.rank.tolist(), self.to.tolist(), strict=True)}
 
     def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = a << 32 | b
@@ -136,7 +143,7 @@ class Merger:
         length = np.array([len(w) for w in found])
         groups = [(4, 0), (8, 4), (12, 8), (20, 12), (wide, 20)]
         for most, least in groups:
-            for some in np.array_split(at := np.flatnonzero((length <= most) & (length > least)), max(1, len(at) // 20_000)):
+            for some in np.array_split(at := np.flatnonzero((length <= most) & (length > least)), max(1, -(-len(at) // MERGED))):
                 if len(some):
                     self._batch([found[i] for i in some], length[some], most, some, out)
         for i in np.flatnonzero(length > wide):
@@ -331,18 +338,23 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-        for b in slices(batches, text):
+        released()  # of what reading the file took
+        for b in slices(batches, text, SLICE):
             for t in b.column(0).to_pylist():
                 count.update(split.words(t))
-            if len(count) > 300_000:
+            if len(count) > COUNTED:
                 yield out()
                 count.clear()
         yield out()
+        del split
+        count.clear()
+        released()
 
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, lexicon_words: int = 65_536, text: str = "text") -> bytes:
+    small_batches(spark)
     counts = staged(spark, word_counts(docs, path, text).where(F.octet_length("word") <= 64), "words")
     top = most_frequent(counts, lexicon_words).select("word").collect()  # lexicon_words rows at most
     special = Splitter(path).special
@@ -363,12 +375,16 @@ def _coded(spark: SparkSession, docs: DataFrame, path: str, text: str, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, sent.value)
-        for b in slices(batches, "__al_text"):
+        released()  # of what reading the file took
+        for b in slices(batches, "__al_text", SLICE):
             ids = codec.encode(b.column(b.num_columns - 1).to_pylist())
             more = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])]
             if with_ids:
                 more.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=schema.names)
+            del ids, more
+        del codec
+        released()
 
     return rows.mapInArrow(run, schema)
 

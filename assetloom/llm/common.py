@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from assetloom.sources.folders import shared_dir
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2_000_000
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/assetloom-{uuid.uuid4().hex}/{name}"
@@ -60,6 +63,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000
             at = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Arrow batches end at BATCH_BYTES, unless the session has a limit of its own; all rows are sent as before.
+
+    With Spark's 64 MB a batch is 10,000 rows of any length. Executors build each in buffers that double, and malloc keeps
+    tens of MB in every thread's arena once such a buffer was freed."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
     """The rows of counts (a table: it is read twice) with the highest n, ``most`` at most; rows of one count stay or go together.
 

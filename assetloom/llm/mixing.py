@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +88,9 @@ def queue(spark: SparkSession, narrow: DataFrame, rows: DataFrame, weights: Sequ
     totals = narrow.groupBy(*by).agg(F.sum("__al_size").alias("__al_total"), F.count("*").alias("n")).collect()  # one row a source
     target = fair_targets([(None if r["__al_null"] else r["__al_source"], r["__al_total"]) for r in totals], weights, max_repeats)
     schema = T.StructType([T.StructField("__al_source", T.StringType()), T.StructField("__al_null", T.BooleanType()), T.StructField("__al_total", T.LongType()), T.StructField("__al_target", T.DoubleType())])
-    known = spark.createDataFrame([(r["__al_source"], r["__al_null"], r["__al_total"], target[None if r["__al_null"] else r["__al_source"]]) for r in totals], schema)
+    listed = [(r["__al_source"], r["__al_null"], r["__al_total"], target[None if r["__al_null"] else r["__al_source"]]) for r in totals]
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.float64())
+    known = spark.createDataFrame(pa.table([pa.array([r[i] for r in listed], k) for i, k in enumerate(kinds)], names=schema.names), schema)  # a list would start a second set of Python workers
     ranges = max(1, -(-sum(r["n"] for r in totals) // range_rows))
     budget = sum(r["__al_total"] for r in totals)
 

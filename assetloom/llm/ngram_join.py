@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetloom.llm.common import mix64, released, removed, slices, staged, word_hashes
+from assetloom.llm.common import mix64, released, removed, slices, small_batches, staged, word_hashes
 from assetloom.llm.components import components
 
 WIDTH = 5
@@ -395,6 +395,7 @@ def _short(short: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_classes(spark: SparkSession, docs: DataFrame, few: int = 4, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(rows, groups) for docs (key long, text): rows has key, n, class; groups has class, group for linked classes."""
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = staged(spark, _packed(docs, max(1, size // 11 // RANGE)), "packed")
     counts = packed.where("range is not null").select("range", "flush", "data").groupBy("range").applyInArrow(_single, "flush long, data binary")

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import fold, mix64, slices
+from assetloom.llm.common import fold, mix64, released, slices, small_batches
 
 BITS = 20
+#: Bytes of text that a worker cuts into words at a time.
+SLICE = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Neutral group mentions, by language. Fixed values; other lists can be given.
 IDENTITY_TERMS = (
@@ -55,10 +57,10 @@ def _hash(kind: int, piece: bytes) -> int:
 
 
 class Features:
-    """Feature numbers of words; a bounded memo keeps those of words seen before."""
+    """Feature numbers of words; a bounded memo keeps those of words seen before, as bytes."""
 
-    def __init__(self, most: int = 200_000):
-        self.memo: dict[str, tuple[int, ...]] = {}
+    def __init__(self, most: int = 100_000):
+        self.memo: dict[str, bytes] = {}
         self.most = most
 
     def add(self, found: Sequence[str]) -> None:
@@ -70,15 +72,16 @@ class Features:
             new = list(dict.fromkeys(found))
         kinds = [(0, w) for w in new] + [(n, w[:n]) for n in (4, 5, 6) for w in new if len(w) > n] + [(10 + n, w[-n:]) for n in (5,) for w in new if len(w) > n]
         index = {x: i for i, x in enumerate(dict.fromkeys(kinds))}
-        number = (mix64(np.array([_hash(k, w.encode()) for k, w in index], dtype=np.uint64)) >> np.uint64(64 - BITS)).tolist()
+        number = (mix64(np.array([_hash(k, w.encode()) for k, w in index], dtype=np.uint64)) >> np.uint64(64 - BITS)).astype(np.int32).tobytes()
+        at = lambda k, w: number[4 * (i := index[k, w]) : 4 * i + 4]
         for w in new:
             n = len(w)
-            self.memo[w] = tuple([number[index[0, w]], *[number[index[k, w[:k]]] for k in (4, 5, 6) if n > k], *([number[index[15, w[-5:]]]] if n > 5 else [])])
+            self.memo[w] = b"".join([at(0, w), *[at(k, w[:k]) for k in (4, 5, 6) if n > k], *([at(15, w[-5:])] if n > 5 else [])])
 
     def of(self, found: Sequence[str]) -> np.ndarray:
         """Distinct feature numbers of a text with these words."""
         distinct = dict.fromkeys(found)
-        return np.unique(np.fromiter((x for w in distinct for x in self.memo[w]), dtype=np.int32))
+        return np.unique(np.frombuffer(b"".join(map(self.memo.__getitem__, distinct)), dtype=np.int32))
 
 
 class Rows:
@@ -173,6 +176,7 @@ def swapped(found: Sequence[str], terms: Terms, features: Features, others: int
 
 def gathered(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS, sample_rows: int = 8000, text: str = "text", key: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Features and labels of the labelled rows of docs, and their counterfactual changes."""
+    small_batches(docs.sparkSession)
     y = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max("toxic").alias("y"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     rate = min(1.0, sample_rows / max(1, y.count()))
@@ -182,7 +186,7 @@ def gathered(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", SLICE):
             got, ys = [], []
             for k, t, v in zip(b["k"].to_pylist(), b["t"].to_pylist(), b["y"].to_pylist(), strict=True):
                 found = letters(t)
@@ -191,6 +195,8 @@ def gathered(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS,
                 ys += [v] * len(got[-1])
             flat = [x for g in got for x in g]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array(ys, pa.int32()), pa.array([x[2] for x in flat], pa.list_(pa.int32())), pa.array([x[3] for x in flat], pa.list_(pa.int32()))], names=["k", "kind", "y", "a", "b"])
+        f.memo.clear()
+        released()
 
     got = few.select(F.col("k").cast("long"), "t", F.col("y").cast("int")).mapInArrow(run, "k long, kind int, y int, a array<int>, b array<int>").toArrow()  # at most sample_rows texts and their swaps
     got = sorted(zip(got["k"].to_pylist(), got["kind"].to_pylist(), got["y"].to_pylist(), got["a"].to_numpy(), got["b"].to_numpy(), strict=True), key=lambda r: (r[1], r[0], r[2], r[3].tobytes(), r[4].tobytes()))
@@ -206,12 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS, sampl
 def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "text") -> DataFrame:
     """docs with score (0 to 1)."""
     sent = spark.sparkContext.broadcast(model)  # 2**BITS floats at most
+    small_batches(spark)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             if sent.value is None:
                 out = [0.0] * b.num_rows
             else:
@@ -221,6 +228,8 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float]
                 z = np.array([float(w[f.of(d)].sum()) if d else 0.0 for d in found]) + intercept
                 out = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "score"])
+        f.memo.clear()
+        released()
 
     return docs.mapInArrow(run, schema)
 

@@ -210,7 +210,7 @@ def test_join_equals_brute_force(spark, docs_of, odd_rows):
     assert sorted(repr(tuple(r)) for r in got) == brute_components(rows)
 
 
-def test_join_by_differences_from_a_hub_equals_brute_force(spark, docs_of, monkeypatch):
+def test_join_by_differences_from_a_hub_equals_brute_force(spark, monkeypatch):
     """Every signature counts as one of many members, blocks and ranges are small, and some sets count as short."""
     import random
 
@@ -431,3 +431,59 @@ def test_join_counts_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 32 * n
+
+
+def peak_mb(call):
+    call()  # what is kept once, such as caches, doesn't count
+    tracemalloc.start()
+    call()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_bpe_merges_in_little_memory():
+    merger = bpe.Merger(bpe.default_path())
+    found = [(f"{i:06d}" * 7).encode() for i in range(20_000)]  # unseen words of 42 bytes
+    assert peak_mb(lambda: merger.encode(found)) < 30
+    assert "pair" not in vars(merger)
+
+
+def test_toxicity_memo_in_little_memory():
+    found = [f"{i:06d}"[::-1] + f"letters{i:06d}" for i in range(50_000)]
+
+    def call():
+        f = toxicity.Features()
+        for k in range(0, len(found), 1000):
+            f.add(found[k : k + 1000])
+
+    assert peak_mb(call) < 10
+
+
+def test_executors_get_small_batches(spark):
+    from assetloom.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    spark.conf.unset(common.BATCH_KEY)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "repeat('word and ', 300) as text", "'en' as lang")
+    langid.identify(spark, docs, {})
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * common.BATCH_BYTES
+    spark.conf.set(common.BATCH_KEY, "8000000")
+    langid.identify(spark, docs, {})
+    assert spark.conf.get(common.BATCH_KEY) == "8000000"  # who set it knows why
+    spark.conf.unset(common.BATCH_KEY)
+
+
+def test_mixing_starts_no_python_worker(spark, monkeypatch):
+    plans = {}
+
+    def staged(session, df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return df
+
+    monkeypatch.setattr(mixing, "staged", staged)
+    docs = spark.sql("select id as doc_id, repeat('word ', 3) as text, 's' as source from range(9)")
+    assert mixing.mixed(spark, docs).count() and "offsets" in plans and "RDD" not in plans["offsets"]
