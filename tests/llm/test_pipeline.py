@@ -82,4 +82,4 @@ def test_stages_on_an_empty_table_and_with_clashing_columns(spark, folder, docs_
 
 
 def test_registry():
-    assert sorted(registry.queries()) == sorted(["pipeline", *(f"op{n}_{x}" for n, x in {1: "exact_top_k", 2: "toxicity", 3: "bpe", 4: "lm_score", 5: "packed_ids", 6: "near", 7: "html_text", 8: "mixing", 9: "language_id", 10: "ngram_join"}.items())])
+    assert sorted(registry.queries()) == sorted(["pipeline", *(f"op{n}_{x}" for n, x in {1: "exact_top_k", 2: "toxicity", 3: "bpe", 4: "lm_score", 5: "packed_ids", 6: "near", 7: "html_text", 8: "mixing", 9: "language_id", 10: "ngram_join", 11: "pivot_near_dup", 12: "filter_audit", 13: "periodic_runs"}.items())])
