@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+from typing import BinaryIO
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -41,26 +44,58 @@ def _compress(cv: np.ndarray, block: np.ndarray, counter: np.ndarray, length: np
     return np.column_stack([v[i] ^ v[i + 8] for i in range(8)])
 
 
-def blake3(data: bytes) -> bytes:
+def _joined(left: np.ndarray, right: np.ndarray, root: bool = False) -> np.ndarray:
+    """Chaining values (n, 8) of n parents."""
+    n = len(left)
+    return _compress(np.tile(IV, (n, 1)), np.concatenate((left, right), axis=1), np.zeros(n, np.int64), np.full(n, BLOCK), np.full(n, PARENT + ROOT * root))
+
+
+def _subtree(data: bytes, first: int, whole: bool) -> np.ndarray:
+    """The chaining value of a part's chunks, of which the first has this number; of all the data's, if whole."""
     chunks = max(1, -(-len(data) // CHUNK))
     raw = np.frombuffer(data.ljust(chunks * CHUNK, b"\0"), "<u4").reshape(chunks, 16, 16)
     size = np.full(chunks, CHUNK)
     size[-1] = len(data) - (chunks - 1) * CHUNK
     blocks = np.maximum(1, -(-size // BLOCK))
-    cv, counter = np.tile(IV, (chunks, 1)), np.arange(chunks, dtype=np.int64)
+    cv, counter = np.tile(IV, (chunks, 1)), first + np.arange(chunks, dtype=np.int64)
     for b in range(16):
         live = np.flatnonzero(blocks > b)
         last = blocks[live] == b + 1
-        flags = (CHUNK_START if b == 0 else 0) + CHUNK_END * last + (ROOT * last if chunks == 1 else 0)
+        flags = (CHUNK_START if b == 0 else 0) + CHUNK_END * last + (ROOT * last if whole and chunks == 1 else 0)
         cv[live] = _compress(cv[live], raw[live, b], counter[live], np.minimum(BLOCK, size[live] - b * BLOCK), flags)
     while len(cv) > 1:  # pairs from the left make the specification's left-full tree
         pairs = len(cv) // 2
-        flags = np.full(pairs, PARENT + (ROOT if len(cv) == 2 else 0))
-        up = _compress(np.tile(IV, (pairs, 1)), cv[: 2 * pairs].reshape(pairs, 16), np.zeros(pairs, np.int64), np.full(pairs, BLOCK), flags)
+        up = _joined(cv[0 : 2 * pairs : 2], cv[1 : 2 * pairs : 2], whole and len(cv) == 2)
         cv = np.concatenate((up, cv[2 * pairs :]))
+    return cv
+
+
+#: Bytes that are read and worked out at a time: a power of two of chunks.
+PART = 4096 * CHUNK
+
+
+def blake3_file(file: BinaryIO, part: int = PART) -> bytes:
+    """BLAKE3 of what a file has from here on, in memory for one part and a chaining value for each level of the tree."""
+    data, done, full = file.read(part), 0, []
+    while len(data) == part and (after := file.read(part)):
+        cv = _subtree(data, done * (part // CHUNK), False)
+        done, data = done + 1, after
+        for _ in range((done & -done).bit_length() - 1):  # as many full trees of equal height end here
+            cv = _joined(full.pop(), cv)
+        full.append(cv)
+        if len(data) < part:  # a short read isn't the end yet
+            while len(data) < part and (more := file.read(part - len(data))):
+                data += more
+    cv = _subtree(data, done * (part // CHUNK), not full)
+    while full:
+        cv = _joined(full.pop(), cv, not full)
     return cv[0].astype("<u4").tobytes()
 
 
+def blake3(data: bytes) -> bytes:
+    return blake3_file(io.BytesIO(data))
+
+
 def blake3_digest(content: Column) -> Column:
     """BLAKE3 of a binary column, 32 bytes."""
 

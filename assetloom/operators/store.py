@@ -1,20 +1,13 @@
-"""The hash store: a table of path, digest and perceptual hash in Parquet folders, one for each range of hashed paths.
-
-A version is a small JSON file that names the folder of each range. A batch rewrites only the ranges that it touches, in a
-new folder, and then puts the next version in place by a rename that fails if another writer was first; that writer's
-version is then read and the batch applied to it. Readers of an older version keep it until drop_old. All files go
-through Spark's own file systems, so that the store can stand wherever Spark reads."""
+"""The hash store: path, digest and perceptual hash by path (a RangedTable), its joins and views."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assetloom.operators.ranges import RangedTable
+
 SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("phash", T.LongType()),
     T.StructField("phash_enh", T.ArrayType(T.LongType())), T.StructField("phash_is_fallback", T.BooleanType()), T.StructField("pixels", T.LongType()),
@@ -81,105 +74,36 @@ class SkipList:
         return self.spark.read.schema("path string").parquet(self.root).distinct() if there else self.spark.createDataFrame([], "path string")
 
 
-class HashStore:
-    """ranges: into how many ranges a new store is cut; a batch of few paths rewrites as many of them at most."""
-
-    def __init__(self, spark: SparkSession, root: str, ranges: int = 256):
-        self.spark, self.root, self.ranges = spark, root.rstrip("/"), ranges
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _names(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-    def version(self) -> int:
-        """The newest version; 0 for none."""
-        return max((int(n[2:-5]) for n in self._names(f"{self.root}/versions") if n.startswith("v=") and n.endswith(".json")), default=0)
-
-    def _folders(self, v: int) -> tuple[int, dict[int, str]]:
-        """The number of ranges, and the folder of each that has rows."""
-        if not v:
-            return self.ranges, {}
-        fs, p = self._fs(f"{self.root}/versions/v={v}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        raw = json.loads(text)
-        return raw["ranges"], {int(k): f for k, f in raw["folders"].items()}
-
-    def _load(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.root}/data/{f}" for f in folders]) if folders else self.spark.createDataFrame([], SCHEMA)
+class HashStore(RangedTable):
+    """ranges: into how many ranges a new store is cut; a range that comes to hold more than most_rows is cut further."""
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._load([*self._folders(self.version() if version is None else version)[1].values()])
+    def __init__(self, spark: SparkSession, root: str, ranges: int = 1, most_rows: int = 1_000_000):
+        super().__init__(spark, root, SCHEMA, "path", ranges, most_rows)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> int:
         """Rows by path replace what the store has; of one path's rows in a batch the last stays, by ``order`` or else as the
         batch has them. Returns the version."""
         at = F.col(order) if order else F.monotonically_increasing_id()
         batch = latest(rows.select(*SCHEMA.fieldNames(), at.alias("__at")), ["path"], ["__at"]).drop("__at")
-        return self._committed(lambda n, old: self._merged(batch, n, old))
-
-    def _merged(self, batch: DataFrame, n: int, old: dict[int, str]) -> dict[int, str]:
-        place = F.pmod(F.xxhash64("path"), F.lit(n)).cast("int").alias("range")
-        touched = [r["range"] for r in batch.select(place).distinct().collect()]  # as many as ranges at most
-        kept = self._load([old[r] for r in touched if r in old]).join(batch.select("path"), "path", "left_anti")
-        return old | self._written(kept.unionByName(batch), n, max(1, len(touched)))
-
-    def _written(self, rows: DataFrame, n: int, files: int) -> dict[int, str]:
-        name = uuid.uuid4().hex
-        place = F.pmod(F.xxhash64("path"), F.lit(n)).cast("int")
-        rows.withColumn("range", place).repartition(files, "range").write.partitionBy("range").parquet(f"{self.root}/data/{name}")
-        return {int(x[6:]): f"{name}/{x}" for x in self._names(f"{self.root}/data/{name}") if x.startswith("range=")}
-
-    def _committed(self, made, tries: int = 20) -> int:
-        """Writes what made(ranges, folders) gives as the next version, again from the start where another writer was first."""
-        jvm = self.spark._jvm
-        for _ in range(tries):
-            v = self.version()
-            n, old = self._folders(v)
-            text = json.dumps({"ranges": n, "folders": made(n, old)})
-            fs, temp = self._fs(f"{self.root}/versions/.{uuid.uuid4().hex}")
-            out = fs.create(temp)
-            out.write(bytearray(text.encode()))
-            out.close()
-            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri() if temp.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-            try:
-                context.rename(temp, self._fs(f"{self.root}/versions/v={v + 1}.json")[1], none)
-            except Py4JJavaError as e:
-                fs.delete(temp, False)
-                if "FileAlreadyExists" not in str(e.java_exception):
-                    raise
-                continue
-            return v + 1
-        raise RuntimeError("other writers were first each time")
-
-    def compact(self, files: int) -> int:
-        """Writes all ranges anew, by so many tasks."""
-        return self._committed(lambda n, old: self._written(self._load([*old.values()]), n, files))
-
-    def reinitialise(self) -> None:
-        fs, root = self._fs(self.root)
-        fs.delete(root, True)
-
-    def drop_old(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions, and folders that none of these names; not while another writer works."""
-        fs, _ = self._fs(self.root)
-        newest = self.version()
-        named = {f for v in range(max(1, newest - keep + 1), newest + 1) for f in self._folders(v)[1].values()}
-        for v in (int(n[2:-5]) for n in self._names(f"{self.root}/versions") if n.startswith("v=")):
-            if v <= newest - keep:
-                fs.delete(self._fs(f"{self.root}/versions/v={v}.json")[1], False)
-        for name in self._names(f"{self.root}/data"):
-            for part in self._names(f"{self.root}/data/{name}"):
-                if f"{name}/{part}" not in named:
-                    fs.delete(self._fs(f"{self.root}/data/{name}/{part}")[1], True)
+        return self.put(batch, replace=True)
+
+    def known(self, catalog: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+        """path of those rows of catalog (path, ...) that the store has a digest for.
+
+        Only ranges that the catalog touches are read. A catalog of few paths, checked by counting, goes to the store's
+        tasks, so that nothing of the store is shuffled; beyond that, these ranges' paths are shuffled."""
+        paths = catalog.select("path").distinct()
+        there = self.holding(paths).where(F.col("digest").isNotNull()).select("path")
+        if paths.count() <= broadcast_rows:
+            return there.join(F.broadcast(paths), "path", "left_semi")
+        return there.join(paths, "path", "left_semi")
+
+    def new_assets(self, catalog: DataFrame, force_rescan: bool = False, broadcast_rows: int = 1_000_000) -> DataFrame:
+        """Rows of catalog that the store has no digest for."""
+        if force_rescan:
+            return catalog
+        found = self.known(catalog, broadcast_rows)
+        return catalog.join(found, "path", "left_anti")
 
     def stats(self) -> DataFrame:
         return self.read().agg(F.count("digest").alias("digests"), F.count(F.coalesce(F.col("phash"), F.get("phash_enh", 0))).alias("phashes"))

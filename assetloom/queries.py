@@ -5,6 +5,7 @@ embeddings are 8 x 8 pixel grids (sixteen in a row make a 32 x 32 one), labels s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from assetloom.functions import hashing as H
 from assetloom.functions import magic as M
 from assetloom.functions import paths as P
 from assetloom.functions import records as R
-from assetloom.operators import dedup, similarity, store
+from assetloom.operators import dedup, near_long, similarity, store
+from assetloom.operators.near_index import NearIndex
+from assetloom.sources.folders import shared_dir
 
 LARGEST = Config(prioritization=("largest_file_size",))
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,17 +210,67 @@ def q_near_pairs(spark, d):
     return similarity.near_hashes(_family(spark, d), 6).select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), "distance")
 
 
-@_query(
+_GROUPS = (
     f"WITH RECURSIVE f AS ({_FAMILY}), u AS (SELECT phash, min(asset) AS least FROM f GROUP BY phash), "
     "e AS (SELECT a.phash AS a, b.phash AS b FROM u a JOIN u b ON a.phash <> b.phash WHERE bit_count(xor(a.phash, b.phash)) <= 3), "
     "r AS (SELECT phash AS a, phash AS b FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) "
     "SELECT f.asset, l.label FROM f JOIN (SELECT r.a, min(u.least) AS label FROM r JOIN u ON u.phash = r.b GROUP BY r.a) l ON l.a = f.phash"
 )
+
+
+@_query(_GROUPS)
 def q_near_groups(spark, d):
     f = _family(spark, d)
     return similarity.near_groups(f, similarity.near_hashes(f, 3), "asset")
 
 
+@_query(_GROUPS)
+def q_near_index(spark, d):
+    """The same groups by an index that three batches come to one after another."""
+    f = _family(spark, d)
+    index = NearIndex(spark, f"{shared_dir(spark)}/q_near_index-{uuid.uuid4().hex}", 3, expected=100_000)
+    for k in range(3):
+        index.add(f.where(F.col("asset") % 3 == k))
+    return index.near_groups(f, "asset")
+
+
+# Copies of each long hash: 6 bits of every word changed (just near), 7 (near to those), 16 (apart).
+_MASKS = (0, 0x3F, 0x7F, 0xFFFF0000)
+
+
+def _long_family(spark: SparkSession, d: str) -> DataFrame:
+    """asset, phash_enh; the last copy occurs twice."""
+    rows = _grids(spark, d).select("image", H.phash1024(F.col("px")).alias("w"))
+    copies = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).cast("long").alias("m")) for k, m in enumerate((*_MASKS, _MASKS[-1]))])).alias("c")
+    rows = rows.select("image", "w", copies)
+    return rows.select((F.col("image") * 8 + F.col("c.k")).alias("asset"), F.transform("w", lambda x: x.bitwiseXOR(F.col("c.m"))).alias("phash_enh"))
+
+
+_WORDS = f"SELECT image, list(h ORDER BY s) AS w FROM (SELECT image, s, {_BITS} AS h FROM (SELECT image, s, px[s * 64 + 1 : s * 64 + 64] AS px, m FROM ({_GRID_M}), range(0, 16) t(s))) GROUP BY image"
+_LONG = f"SELECT image * 8 + k AS asset, list_transform(w, lambda x: xor(x, m::UBIGINT)) AS w FROM ({_WORDS}), (VALUES {', '.join(f'({k}, {m})' for k, m in enumerate((*_MASKS, _MASKS[-1])))}) t(k, m)"
+_APART = "list_sum(list_transform(list_zip(a.w, b.w), lambda z: bit_count(xor(z[1], z[2]))))"
+
+
+@_query(f"WITH f AS (SELECT w, min(asset) AS asset FROM ({_LONG}) GROUP BY w) SELECT a.asset AS low, b.asset AS high, {_APART}::INTEGER AS distance FROM f a JOIN f b ON a.asset < b.asset WHERE {_APART} <= 96")
+def q_near_long_pairs(spark, d):
+    """Pairs of distinct long hashes within 96 bits, each named by its smallest asset."""
+    f = _long_family(spark, d)
+    name = f.groupBy("phash_enh").agg(F.min("asset").alias("asset"))
+    pairs = near_long.near_long_pairs(f, 6)
+    named = pairs.join(name.select(F.col("phash_enh").alias("a"), F.col("asset").alias("p")), "a").join(name.select(F.col("phash_enh").alias("b"), F.col("asset").alias("q")), "b")
+    return named.select(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "distance")
+
+
+@_query(
+    f"WITH RECURSIVE f AS ({_LONG}), u AS (SELECT w, min(asset) AS least FROM f GROUP BY w), "
+    f"e AS (SELECT a.least AS a, b.least AS b FROM u a JOIN u b ON a.least <> b.least WHERE {_APART} <= 96), "
+    "r AS (SELECT least AS a, least AS b FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) "
+    "SELECT f.asset, l.label FROM f JOIN u ON u.w = f.w JOIN (SELECT a, min(b) AS label FROM r GROUP BY a) l ON l.a = u.least"
+)
+def q_near_long_groups(spark, d):
+    return near_long.near_long_groups(_long_family(spark, d), 6, "asset")
+
+
 @_query(f"SELECT vec_id, {_HEX.format('h')} AS code, CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616)::BIGINT ELSE h::BIGINT END AS phash FROM ({_ONE})")
 def q_codec(spark, d):
     code = H.to_bytes(F.col("h"))
@@ -236,6 +289,16 @@ def q_new_assets(spark, d):
     return store.new_assets(_t(spark, d, "documents").select("doc_id"), _stored(spark, d), "doc_id")
 
 
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
+def q_store_new_assets(spark, d):
+    """The same against a store in ranges, of which only those that the catalog touches are read."""
+    held = store.HashStore(spark, f"{shared_dir(spark)}/q_store_new_assets-{uuid.uuid4().hex}", most_rows=200)
+    none = {"phash": "bigint", "phash_enh": "array<bigint>", "phash_is_fallback": "boolean", "pixels": "bigint"}
+    rows = _stored(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.col("digest").cast("string").cast("binary").alias("digest"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    held.upsert(rows)
+    return held.new_assets(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"))).select(F.col("path").cast("long").alias("doc_id"))
+
+
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def q_skiplist(spark, d):
     return store.without_skipped(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels").where("toxic = 1"), "doc_id")
@@ -283,10 +346,6 @@ def q_upsert(spark, d):
 @_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'old' END AS digest, CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE doc_id END AS phash FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
 def q_store_upsert(spark, d):
     """A store of every other document, then a batch of every third, each twice; the later row of a path stays."""
-    import uuid
-
-    from assetloom.sources.folders import shared_dir
-
     held = store.HashStore(spark, f"{shared_dir(spark)}/q_store_upsert-{uuid.uuid4().hex}", ranges=8)
     none = [F.lit(None).cast("array<bigint>").alias("phash_enh"), F.lit(False).alias("phash_is_fallback"), F.lit(None).cast("long").alias("pixels")]
     rows = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text", "n_chars")

@@ -1,18 +1,20 @@
 """Files to digests and perceptual hashes, with a row for every file that fails.
 
 PNG is decoded here (all colour types and depths but interlaced pictures); JPEG and TIFF are decoded by the JVM where the
-engine knows the folders (assetloom.sources.pictures); other formats need a decoder that is given as a function of bytes. A JPEG that can't be decoded is tried again from each of its start marks; if none works it gets
-the fallback hash, which is flagged."""
+engine knows the folders (assetloom.sources.pictures); other formats need a decoder that is given as a function of bytes. A
+JPEG that can't be decoded is tried again from each of its start marks, by a decoder that is given or by the JVM; if none
+works it gets the fallback hash, which is flagged. Digests read a file in parts; digests and decoders run in a process
+beside the worker, so that one that hangs or crashes, in foreign code too, costs its own file only."""
 
 from __future__ import annotations
 
 import hashlib
+import multiprocessing
 import os
-import signal
 import struct
-import threading
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -193,68 +195,123 @@ class TimedOutError(Exception):
     pass
 
 
-def within(seconds: float, fn: Callable, *args):
-    """fn(*args), ended after some seconds where the platform's timer can be used (a main thread)."""
-    if threading.current_thread() is not threading.main_thread():
-        return fn(*args)
+class DecoderDiedError(Exception):
+    pass
 
-    def stop(*_):
-        raise TimedOutError(f"more than {seconds:g} s")
 
-    old = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        return fn(*args)
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, old)
+class Guard:
+    """A process of its own for work that may hang or crash in foreign code: the worker outlives it.
+
+    ``work(*args)`` runs in a child that is forked when first asked and kept for the next; one that doesn't answer in time,
+    or that dies, is ended, and the next question gets a new one. Results and errors come back over a pipe."""
+
+    def __init__(self, work: Callable):
+        self.work, self.child, self.pipe = work, None, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                args = pipe.recv()
+            except EOFError:
+                os._exit(0)
+            try:
+                out = (True, self.work(*args))
+            except Exception as e:  # any decoder's error is the caller's to record
+                out = (False, (type(e).__name__, str(e)[:500]))
+            pipe.send(out)
+
+    def ask(self, seconds: float, *args):
+        """work(*args), or TimedOutError, DecoderDiedError, or FailedError with the error's class and text."""
+        if self.child is None:
+            context = multiprocessing.get_context("fork")
+            self.pipe, other = context.Pipe()
+            self.child = context.Process(target=self._serve, args=(other,), daemon=True)
+            self.child.start()
+            other.close()
+        self.pipe.send(args)
+        if not self.pipe.poll(seconds):
+            self.end()
+            raise TimedOutError(f"more than {seconds:g} s")
+        try:
+            good, value = self.pipe.recv()
+        except EOFError:
+            self.end()
+            raise DecoderDiedError("the decoder's process ended") from None
+        if not good:
+            raise FailedError(*value)
+        return value
+
+    def end(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
 
 
-def hash_file(path: str, format_: str, decoders: dict[str, Decoder], digest: Callable[[bytes], bytes], seconds: tuple[float, float], enhanced: bool) -> tuple:
-    """One row of SCHEMA. The perceptual hash is tried only after the digest."""
-    fail = lambda stage, e, d=None: (path, d, None, None, None, None, stage, type(e).__name__, str(e)[:500])
+class FailedError(Exception):
+    """An error of guarded work: its class's name and its text."""
+
+
+def work(decoders: dict[str, Decoder], digest: Callable[[BinaryIO], bytes]) -> Callable:
+    """What a guard does: a file's digest, read in parts, or the hashes of its picture (None for a JPEG that no start mark helps)."""
+
+    def run(what: str, path: str, format_: str, enhanced: bool):
+        with open(path, "rb") as f:
+            if what == "digest":
+                return digest(f)
+            data, decode = f.read(), decoders[format_]
+        picture = recovered(data, decode) if format_ == "jpeg" else decode(data)
+        return None if picture is None else (phash(picture), phash_words(picture) if enhanced else None, picture.shape[0] * picture.shape[1])
+
+    return run
+
+
+def hash_file(path: str, format_: str, known: Container[str], guard: Guard, seconds: tuple[float, float], enhanced: bool) -> tuple:
+    """One row of SCHEMA. The perceptual hash is tried only after the digest. known: formats that the guard's work can decode."""
+
+    def fail(stage: str, e: Exception, d: bytes | None = None) -> tuple:
+        name, text = e.args if isinstance(e, FailedError) else (type(e).__name__, str(e))
+        return path, d, None, None, None, None, stage, name, text[:500]
+
     try:
         size = os.path.getsize(path)
-    except OSError as e:
+        if size == 0:
+            raise ValueError("empty file")
+    except (OSError, ValueError) as e:
         return fail("validate", e)
-    if size == 0:
-        return fail("validate", ValueError("empty file"))
     try:
-        with open(path, "rb") as f:
-            data = f.read()
-        d = within(seconds[0], digest, data)
+        d = guard.ask(seconds[0], "digest", path, format_, enhanced)
     except Exception as e:
         return fail("digest", e)
-    decode, flagged = decoders.get(format_), False
     try:
-        if decode is None and format_ != "jpeg":
+        if format_ not in known and format_ != "jpeg":
             raise LookupError(f"no handler for {format_}")
-        if format_ == "jpeg":
-            picture = within(seconds[1], recovered, data, decode) if decode else None
-            if picture is None:
-                return path, d, fallback(path, size, os.path.getmtime(path)), None, True, None, None, None, None
-        else:
-            picture = within(seconds[1], decode, data)
-        return path, d, phash(picture), phash_words(picture) if enhanced else None, flagged, picture.shape[0] * picture.shape[1], None, None, None
+        found = guard.ask(seconds[1], "picture", path, format_, enhanced) if format_ in known else None
+        if found is None:
+            return path, d, fallback(path, size, os.path.getmtime(path)), None, True, None, None, None, None
+        return path, d, found[0], found[1], False, found[2], None, None, None
     except Exception as e:
         return fail("phash", e, d)
 
 
-def hashed(catalog: DataFrame, decoders: dict[str, Decoder] | None = None, digest: Callable[[bytes], bytes] | None = None, enhanced: bool = False) -> DataFrame:
-    """A row for each file of a catalog: hashes, or the stage and error that stopped it."""
-    from assetloom.functions.blake3 import blake3
+def hashed(catalog: DataFrame, decoders: dict[str, Decoder] | None = None, digest: Callable[[BinaryIO], bytes] | None = None, enhanced: bool = False) -> DataFrame:
+    """A row for each file of a catalog: hashes, or the stage and error that stopped it. digest: of an open file."""
+    from assetloom.functions.blake3 import blake3_file
     from assetloom.functions.records import DIGEST_SECONDS, PHASH_SECONDS
 
-    known, how = {"png": png} | (decoders or {}), digest or blake3
+    known, how = {"png": png} | (decoders or {}), digest or blake3_file
 
     kinds = {"binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "boolean": pa.bool_(), "string": pa.string()}
     fields = [c.split() for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guard = Guard(work(known, how))
         for b in batches:
-            rows = [hash_file(path, f, known, how, (DIGEST_SECONDS.get(f, DIGEST_SECONDS[""]), PHASH_SECONDS.get(f, PHASH_SECONDS[""])), enhanced) for path, f in zip(b["path"].to_pylist(), b["format"].to_pylist(), strict=True)]
+            rows = [hash_file(path, f, known, guard, (DIGEST_SECONDS.get(f, DIGEST_SECONDS[""]), PHASH_SECONDS.get(f, PHASH_SECONDS[""])), enhanced) for path, f in zip(b["path"].to_pylist(), b["format"].to_pylist(), strict=True)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])  # integers stay exact beside nulls
+        guard.end()
 
     return catalog.select("path", "format").mapInArrow(run, SCHEMA)
 
