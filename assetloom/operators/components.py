@@ -8,25 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(links: DataFrame, kept: Callable[[DataFrame], DataFrame], most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, kept: Callable[[DataFrame], DataFrame], most_rounds: int = 60, broadcast_rows: int = 1_000_000) -> DataFrame:
     """node, label for every node of links (a long, b long).
 
-    Alternates large-star and small-star rounds: each node hangs its larger neighbours, then all its smaller ones, on
-    its smallest neighbour, until the links form stars. A node's links are combined by grouped minima only, so that a
-    hub with many links needs no list in one task. ``kept`` stores what a round made and cuts its lineage."""
+    Links are kept as (u, v), u > v. A round hangs what hangs on a node on that node's own smallest neighbour, if it has a
+    smaller one (large star), and then joins each node's several smaller neighbours by their smallest (small star), until
+    the links form stars. Only nodes that have both larger and smaller neighbours, or several smaller ones, take part: stars
+    that are done meet nothing, so the links of a centre never gather in one task for being many. The few nodes that still
+    change go to the links (broadcast below ``broadcast_rows``, checked by counting; a skewed shuffle join beyond).
+    ``kept`` stores what a round made and cuts its lineage."""
     edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     for _ in range(most_rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).distinct()
-        new = kept(small)
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        ends = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+        open_ = ends.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("other"), F.max(F.col("v").isNull()).alias("larger"))
+        open_ = kept(open_.where("m is not null and (larger or m <> other)"))
+        if not open_.limit(1).count():
             break
+        hung = edges.join(few(open_.where("larger").select(F.col("u").alias("v"), "m")), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        least = hung.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("other"))
+        several = kept(least.where("m <> other").select("u", "m"))
+        moved = hung.join(few(several), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = kept(least.select("u", F.col("m").alias("v")).union(moved).distinct())
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -456,3 +456,28 @@ def test_shrinking_large_pictures():
     flat = np.full((1100, 30, 3), 77, np.uint8)
     for kind in ("triangle", "lanczos3"):
         assert (decode.resized(flat, 20, 700, kind) == 77).all()
+
+
+def test_components_of_hubs_chains_and_rings(spark, tmp_path):
+    """A hub of 100,000 members gathers in no task; all shapes give the smallest member."""
+    from assetloom.operators.components import components
+
+    hub = spark.range(1, 100_001).selectExpr("0L as a", "id as b")
+    chain = spark.range(300_000, 300_060).selectExpr("id + 1 as a", "id as b")
+    down = spark.range(400_000, 400_500).selectExpr("999999L as a", "id as b")  # the hub is the largest
+    ring = spark.range(500_000, 500_021).selectExpr("id as a", "500000 + (id - 500000 + 8) % 21 as b")
+    own = spark.createDataFrame([(7, 7), (100_001, 100_001)], "a long, b long")
+    links = hub.union(chain).union(down).union(ring).union(own).union(hub.limit(50))
+    shuffles = []
+
+    def kept(df):
+        df = df.checkpoint()
+        shuffles.append(max((r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()), default=0))
+        return df
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts would be put together
+    for most in (10**6, 0):
+        got = components(links, kept, broadcast_rows=most)
+        sizes = {r["label"]: r["n"] for r in got.groupBy("label").agg(F.count_distinct("node").alias("n"), F.count("*").alias("m")).where("n = m").collect()}
+        assert sizes == {0: 100_001, 300_000: 61, 400_000: 501, 500_000: 21} and max(shuffles) < 60_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
