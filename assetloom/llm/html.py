@@ -3,8 +3,9 @@
 A page is cut into flat blocks of text at block-level tags. A block is described by numbers: its own word count and link
 density, those of the blocks before and after it, whether it stands in the part of the page that holds the text
 (``inside``: its article or main elements, where they have a fiftieth of the words at least, else where most words stand; ``article`` says which),
-whether it stands in an element of another purpose (navigation, footers, forms, notices by name), and whether it is a
-heading or a list item. An element that holds the text's part is never of another purpose, whatever its tag or name says. A CART tree, trained at start on the blocks of a few small labelled pages
+whether it stands in an element of another purpose (navigation, footers, forms, notices by name), whether it is a
+heading or a list item, and whether it stands in a box of a text of paragraphs (``odd``: an advert or a reader's comment,
+but an opening or a long passage too, which its words and links and those of its neighbours tell). An element that holds the text's part is never of another purpose, whatever its tag or name says. A CART tree, trained at start on the blocks of a few small labelled pages
 (``PAGES``), decides which blocks are main text.
 
 Defined results: null and empty pages give an empty text, as do pages without a block of main text; an empty table gives
@@ -36,12 +37,14 @@ MOST_DEPTH = 512
 # Element names of HTML by what they do, and words that end the names of page parts.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = frozenset("p li dd blockquote pre".split())
+BOXES = frozenset("div section".split())
 CONTAINERS = frozenset("html body div section article main center table tbody tr td form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea template iframe noframes noembed object svg math canvas audio video xmp noscript button select".split())
 ASIDE = frozenset("nav footer aside form menu dialog head title search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-ASIDE_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices comment comments respond replies disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter signup login popup modal widget toolbar skip".split())
+ASIDE_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices comment comments respond replies discussion discussions reactions feedback disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter signup login popup modal widget toolbar skip".split())
 _P_ENDERS = BLOCK - frozenset("dd dt li td th tr tbody thead tfoot caption legend body html head optgroup summary title".split())
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
@@ -200,7 +203,7 @@ class Parser:
                 return
 
 
-NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "aside", "article", "heading", "item")
+NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "aside", "article", "heading", "item", "odd")
 
 
 def features(parsed: Parser) -> np.ndarray:
@@ -239,10 +242,35 @@ def features(parsed: Parser) -> np.ndarray:
         whole = holds[i] if told_so else 4 * held[i] > 3 * held[0]
         aside[i] = aside[e.parent] + (not whole and (e.name in ASIDE or named_aside(e) or (e.name == "header" and not inside[e.parent])))
     inside[0] = at == 0 and not told_so
-    flags = np.array([[inside[b.element], min(aside[b.element], 1), told_so and told[b.element], b.heading, elements[b.element].name in ("li", "td", "th", "dt")] for b in blocks], dtype=float).reshape(n, 5)
+    odd = _odd(blocks, elements, inside, aside)
+    flags = np.array([[inside[b.element], min(aside[b.element], 1), told_so and told[b.element], b.heading, elements[b.element].name in ("li", "td", "th", "dt"), o] for b, o in zip(blocks, odd, strict=True)], dtype=float).reshape(n, 6)
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], flags])
 
 
+def _odd(blocks: list[Block], elements: list[Element], inside: list[bool], aside: list[int]) -> list[bool]:
+    """Which blocks stand right in a box (or are headings of one without paragraphs) of a text that is mostly paragraphs."""
+    textual, boxed, own = [0] * len(elements), 0, 0
+    for b in blocks:
+        name = elements[b.element].name
+        if name in TEXTUAL:
+            textual[b.element] += b.words
+            own += b.words * (inside[b.element] and not aside[b.element])
+        elif name in BOXES and inside[b.element] and not aside[b.element]:
+            boxed += b.words
+    if own <= boxed:
+        return [False] * len(blocks)
+    for i in range(len(elements) - 1, 0, -1):
+        textual[elements[i].parent] += textual[i]
+
+    def in_box(b: Block) -> bool:
+        e = elements[b.element]
+        if e.name in HEADINGS:
+            return elements[e.parent].name in BOXES and not textual[e.parent]
+        return e.name in BOXES and (not textual[b.element] or not b.heading)
+
+    return [in_box(b) for b in blocks]
+
+
 # The labelled pages. A number in braces stands for so many words; blocks that begin with § are main text.
 PAGES = [
     "<body><nav><ul><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul></nav><div>{12}</div><article><h1>§{8}</h1><p>§{60}<p>§{120}<p>§{9}<p>§{1}<p>§{40} <a>{3}</a></article><footer>{5} <a>{2}</a> {15}</footer>",
@@ -275,6 +303,21 @@ PAGES = [
     "<body><div><a>{3}</a></div><h2>§{4}</h2><p>§{30}<p>§{70}<p><a>{2}</a> <a>{2}</a>",
     "<body><main><h1>§{3}</h1><p>§{5} <a>{4}</a><p>§<a>{8}</a><p>§{14}<nav><a>{1}</a></nav></main><footer>{30}</footer>",
     "<p>§{12}",
+    # Texts of paragraphs with boxes between them: where they stand says nothing, words and links of box and neighbours do.
+    "<article><h1>§{7}</h1><p>§{60}<p>§{80}<div>{10} <a>{2}</a></div><p>§{70}<p>§{12}</article>",
+    "<article><h1>§{5}</h1><div>§{24}</div><p>§{90}<p>§{50}<div>{9}</div><p>§{66}</article>",
+    "<article><h1>§{6}</h1><p>§{40}<div>§{120}</div><p>§{30}<p>§{70}<div>§{95} <a>{2}</a></div></article>",
+    "<article><p>§{45}<p>§{75}<div>{14} <a>{5}</a></div><div>{6} <a>{1}</a></div><p>§{55}</article>",
+    "<main><h1>§{4}</h1><div>§{18}</div><p>§{60}<p>§{100}<div><a>{8}</a></div><p>§{33}<div>{12}</div></main>",
+    "<article><h1>§{8}</h1><p>§{80}<p>§{110}<div><h3>{1}</h3><div>{20}</div><div>{35}</div><div>{12}</div><div>{3}</div></div></article>",
+    "<nav><a>{2}</a></nav><article><h1>§{9}</h1><div>§{31}</div><p>§{140}<div>{5}</div><p>§{20}<p>§{85}<section><h2>{2}</h2><div>{28}</div><div>{44} <a>{1}</a></div></section></article><footer>{12}</footer>",
+    "<article><h1>§{3}</h1><p>§{30}<div>{22}</div><p>§{64}<div>{7} <a>{4}</a></div></article><div>{18}</div>",
+    "<body><div><a>{1}</a><a>{2}</a></div><div><h1>§{6}</h1><p>§{75}<div>{11} <a>{2}</a></div><p>§{90}<p>§{8}<div>{16}</div></div><div>{4}</div>",
+    "<main><h1>§{5}</h1><section><h2>§{2}</h2><p>§{50}</section><section><h2>§{3}</h2><p>§{40}<p>§{6}</section><div>{13}</div></main>",
+    "<article><h1>§{6}</h1><div>§{12}</div><p>§{70}<p>§{44}<div>{30} <a>{3}</a></div><p>§{52}</article>",
+    "<article><h2>§{4}</h2><p>§{90}<h2>§{3}</h2><div>§{82}</div><p>§{35}<div>{40}</div></article>",
+    "<article><h1>§{7}</h1><p>§{110}<div>§{90}</div><p>§{100}<p>§{60}<div>§{130}</div><p>§{120}<div>{10}</div></article>",
+    "<article><p>§{70}<div>§{70}</div><p>§{80}<div>§{150} <a>{1}</a></div><p>§{64}<div>{40} <a>{2}</a></div><p>§{90}</article>",
 ]
 
 

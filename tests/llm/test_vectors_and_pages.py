@@ -212,3 +212,51 @@ def test_pages_table(spark):
     got = {(r["page_id"], r["n_chars"]) for r in html.op7_html_text(df).collect()}
     assert got == {(1, len(html.main_text(PAGE, html.trained()))), (2, 0), (None, 249_999)}
     assert html.op7_html_text(df.limit(0)).count() == 0
+
+
+def held_out_pages():
+    """24 pages of six templates that the table doesn't hold; blocks that begin with § are main text."""
+    import random
+
+    out = []
+    for seed in range(10, 14):
+        r = random.Random(seed)
+        w = lambda a, b: " ".join(f"w{r.randrange(1000)}" for _ in range(r.randint(a, b)))
+        p = lambda a=25, b=120: f"<p>§{w(a, b)}</p>"
+        call = lambda: r.choice([f"<div>{w(6, 15)}</div>", f"<div>{w(4, 14)} <a href=x>{w(2, 4)}</a></div>", f"<div><a href=y>{w(4, 9)}</a></div>"])
+        nav = f"<div><a>{w(1, 2)}</a> <a>{w(1, 2)}</a> <a>{w(1, 1)}</a></div>"
+        out.append(f"<body>{nav}<article><header><h1>§{w(4, 9)}</h1></header>{p()}{p()}{call()}{p()}{p()}</article><footer>{w(5, 20)}</footer>")
+        out.append(f"<body><main><h1>§{w(3, 8)}</h1><div>§{w(14, 30)}</div>{p(60)}{p()}{call()}{p(60)}<div class='discussion'><h3>{w(1, 1)}</h3>" + "".join(f"<p>{w(10, 60)}</p>" for _ in range(3)) + "</div></main>")
+        out.append(f"<body><article><h1>§{w(5, 9)}</h1>{p()}{p()}{p()}<div><h4>{w(1, 2)}</h4>" + "".join(f"<div>{w(8, 40)}</div>" for _ in range(4)) + "</div></article>")
+        out.append(f"<body>{nav}<div><h2>§{w(4, 9)}</h2>{p()}{p()}{call()}{p()}</div><div>{w(3, 8)}</div><p><a>{w(2, 3)}</a> <a>{w(2, 3)}</a>")
+        out.append(f"<body><article><h1>§{w(4, 8)}</h1><section><h2>§{w(2, 4)}</h2>{p()}{p()}</section><section><h2>§{w(2, 4)}</h2>{p()}<ul><li>§{w(3, 9)}<li>§{w(3, 9)}</ul></section>{call()}</article>")
+        out.append(f"<body><article><h1>§{w(4, 8)}</h1>{p(50)}<div>§{w(80, 140)}</div>{p(50)}{call()}</article><aside><p>{w(20, 60)}</p></aside>")
+    return out
+
+
+def test_held_out_pages_of_other_templates():
+    right = blocks = differ = whole = 0
+    for page in held_out_pages():
+        parsed = html.Parser(page)
+        x = html.features(parsed)
+        want = [b.text.startswith("§") for b in parsed.blocks]
+        got = html.trained().predict(x).tolist()
+        flags = ((x[:, html.NAMES.index("inside")] == 1) & (x[:, html.NAMES.index("aside")] == 0)).tolist()
+        blocks += len(want)
+        right += sum(a == b for a, b in zip(got, want, strict=True))
+        whole += got == want
+        differ += sum(a != f for a, f in zip(got, flags, strict=True))
+    assert whole >= 22 and right / blocks > 0.98 and differ >= 24
+
+
+def test_features_equal_a_plain_reading():
+    """Words and link density of a block and its neighbours, recounted from the marked-up page."""
+    for page in held_out_pages():
+        parsed = html.Parser(page)
+        x = html.features(parsed)
+        link = [b.link_words / b.words for b in parsed.blocks]
+        size = [len(b.text.split()) for b in parsed.blocks]
+        for i in range(len(size)):
+            around = [v[j] if 0 <= j < len(v) else 0 for j in (i, i - 1, i + 1) for v in (size, link)]
+            assert x[i, :6].tolist() == around
+    assert {"words", "links", "words_before", "links_before", "words_after"} <= html.trained().used()
