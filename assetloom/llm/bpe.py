@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import most_frequent, released, slices, small_batches, staged
+from assetloom.llm.common import most_frequent, released, sent, slices, small_batches, staged
 
 END = "</w>"
 NONE = np.iinfo(np.int64).max
@@ -369,12 +369,12 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str, text: str = "text",
 
 
 def _coded(spark: SparkSession, docs: DataFrame, path: str, text: str, with_ids: bool, **how) -> DataFrame:
-    sent = spark.sparkContext.broadcast(build_lexicon(spark, docs, path, text=text, **how))  # lexicon_words words at most
+    shared = sent(spark, build_lexicon(spark, docs, path, text=text, **how))  # lexicon_words words at most
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "n_tokens", "ids_sha256", "decoded_sha256", "ids")], F.col(text).alias("__al_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, sent.value)
+        codec = Codec(path, shared.value)
         released()  # of what reading the file took
         for b in slices(batches, "__al_text", SLICE):
             ids = codec.encode(b.column(b.num_columns - 1).to_pylist())

@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,45 @@ from assetloom.sources.folders import shared_dir
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2_000_000
 
 
+#: What blocks of freed() have made so far, the innermost last: (folders, broadcasts).
+_working: list[tuple[list[str], list[Broadcast]]] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    """A new path in the shared folder, removed when the block of freed() around it or the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/assetloom-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path.rpartition("/")[0])
+    if _working:
+        _working[-1][0].append(path.rpartition("/")[0])
+    else:
+        atexit.register(_remove, spark, path.rpartition("/")[0])
     return path
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of a bounded value, destroyed when the block of freed() around it ends."""
+    out = spark.sparkContext.broadcast(value)
+    if _working:
+        _working[-1][1].append(out)
+    return out
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Frees the working tables and broadcasts that a block made: for blocks that write their result, which must not be a
+    DataFrame that is still to be worked out."""
+    _working.append(([], []))
+    try:
+        yield
+    finally:
+        folders, broadcasts = _working.pop()
+        for path in folders:
+            _remove(spark, path)
+        for b in broadcasts:
+            b.destroy()
+        gc.collect()  # handles of the JVM's plans
+        released()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import fold, released, slices, small_batches
+from assetloom.llm.common import fold, released, sent, slices, small_batches
 
 UND = "und"
 #: Digits, ASCII punctuation and white space tell nothing about a language.
@@ -84,13 +84,13 @@ class Classifier:
 
 def identify(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], text: str = "text", wide: float = 0.1) -> DataFrame:
     """docs with lang_pred and score: the margin in units of ``wide``, at most 1."""
-    sent = spark.sparkContext.broadcast(content)  # dict_bytes a language
+    shared = sent(spark, content)  # dict_bytes a language
     small_batches(spark)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(sent.value)
+        model = Classifier(shared.value)
         for b in slices(batches, text):
             found = [model.margin(x) for x in b.column(at).to_pylist()]
             lang, score = pa.array([x for x, _ in found], pa.string()), pa.array(np.minimum([m / wide for _, m in found], 1.0), pa.float64())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import fold, most_frequent, slices, staged, words
+from assetloom.llm.common import fold, most_frequent, sent, slices, staged, words
 
 END = b""  # no word is empty
 
@@ -184,10 +184,10 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, direct: int = 2
     for r in counts.join(F.broadcast(apart), "word", "left_anti").groupBy(group).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # `forms` rows
         class_n[r["g"]], class_v[r["g"]] = r["n"], r["v"]
     vocabulary = Vocabulary(top, direct, forms, class_n, class_v, n, v)
-    sent = spark.sparkContext.broadcast(vocabulary)
+    shared = sent(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = sent.value
+        voc = shared.value
         model = LogBilinear(voc.symbols, dims, unigram=voc.unigram)
         square, rng, seen = np.zeros_like(model.flat), np.random.default_rng(11), 0
         for b in slices(batches, "text"):
@@ -207,14 +207,14 @@ def fit(spark: SparkSession, docs: DataFrame, counts: DataFrame, direct: int = 2
 
 def scored(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, model: np.ndarray, counts: DataFrame, text: str = "text", dims: int = 24) -> DataFrame:
     """docs, without the text, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    sent = spark.sparkContext.broadcast((vocabulary, model))
+    shared = sent(spark, (vocabulary, model))
     keep = [c for c in docs.columns if c != text]
     rows = docs.select(F.monotonically_increasing_id().alias("__al_row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("__al_text"))
     names = [f.name for f in rows.schema.fields[:-1]]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_tokens long, known long, base double, score double, rare array<string>, times array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = sent.value
+        voc, flat = shared.value
         lbl = LogBilinear(voc.symbols, dims, flat)
         for b in slices(batches, "__al_text"):
             t = Texts(b.column(b.num_columns - 1).to_pylist(), voc)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import removed, staged
+from assetloom.llm.common import removed, sent, staged
 from assetloom.llm.components import components
 from assetloom.llm.vectors import _matrix, usable
 
@@ -169,7 +169,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.98, nea
     number = pivots or pivot_number(n)
     few = classes.where(F.pmod("h2", F.lit(max(1, n // (4 * number)))) == 0).orderBy("h1", "h2").limit(4 * number).select("v").toArrow()  # the documented sample: four vectors a pivot
     wide = lambda x: np.pad(x, ((0, 0), (0, dims - x.shape[1])))
-    points = spark.sparkContext.broadcast(chosen(wide(units(_matrix(few["v"], np.float64))), number))
+    points = sent(spark, chosen(wide(units(_matrix(few["v"], np.float64))), number))
     first = nearest - shared + 1
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

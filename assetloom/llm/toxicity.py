@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.llm.common import fold, mix64, released, slices, small_batches
+from assetloom.llm.common import fold, mix64, released, sent, slices, small_batches
 
 BITS = 20
 #: Bytes of text that a worker cuts into words at a time.
@@ -85,33 +85,54 @@ class Features:
 
 
 class Rows:
-    """A sparse 0/1 (or signed) matrix by rows."""
-
-    def __init__(self, rows: Sequence[np.ndarray], values: Sequence[np.ndarray] | None = None):
-        self.n = len(rows)
-        self.at = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, dtype=np.int64)
-        self.val = np.concatenate(values) if values else np.ones(len(self.col))
+    """A sparse 0/1 (or signed) matrix, by rows and by columns, in four bytes an entry each."""
+
+    def __init__(self, rows: Sequence[np.ndarray], width: int, signs: Sequence[np.ndarray] | None = None):
+        self.n, self.width = len(rows), width
+        self.col = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+        self.sign = None if signs is None else np.concatenate([*signs, np.empty(0, np.int8)]).astype(np.int8)
+        size = np.array([len(r) for r in rows], dtype=np.int64)
+        order = np.argsort(self.col, kind="stable").astype(np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)[order]
+        self.row_sign = None if signs is None else self.sign[order]
+        self.filled, self.used = np.flatnonzero(size), np.flatnonzero(np.bincount(self.col, minlength=width))
+        self.starts = (np.cumsum(size) - size)[self.filled]
+        self.tops = np.searchsorted(self.col[order], self.used)
+
+    @staticmethod
+    def _sums(values: np.ndarray, sign: np.ndarray | None, starts: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(starts):
+            if sign is not None:
+                values *= sign
+            out[at] = np.add.reduceat(values, starts)
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, w[self.col] * self.val, self.n)
+        return self._sums(w[self.col], self.sign, self.starts, self.filled, self.n)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return self._sums(g[self.row], self.row_sign, self.tops, self.used, self.width)
 
-    def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.col, g[self.at] * self.val, size)
+
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Without BLAS, whose idle threads would spin."""
+    return float(np.einsum("i,i->", a, b))
 
 
 def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarray, np.ndarray]] = (), l1: float = 1e-3, swap_weight: float = 5.0, steps: int = 250, still: float = 1e-2, size: int = 1 << BITS) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated proximal gradient, until ten steps lower the loss by less than ``still`` of it.
     swaps: features lost and gained by each swap."""
-    count = np.bincount(np.concatenate([*x, np.empty(0, dtype=np.int64)]).astype(np.int64), minlength=size)
+    count = np.bincount(np.concatenate([*x, np.empty(0, dtype=np.int32)]), minlength=size)
     used = np.flatnonzero(count >= 3)  # a term that no text has keeps a weight of 0 and needs no penalty
-    place = np.full(size, -1)
+    place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    narrow = lambda r: (p := place[r.astype(np.int64)])[p >= 0]
-    m = Rows([narrow(r) for r in x])
-    gone = [(narrow(a), narrow(b)) for a, b in swaps]
-    c = Rows([np.concatenate(p) for p in gone], [np.concatenate([-np.ones(len(a)), np.ones(len(b))]) for a, b in gone]) if gone else None
+    narrow = lambda r: (p := place[r])[p >= 0]
     n, k = len(y), len(used)
+    m = Rows([narrow(r) for r in x], k)
+    gone = [(narrow(a), narrow(b)) for a, b in swaps]
+    c = Rows([np.concatenate(p) for p in gone], k, [np.repeat(np.array([-1, 1], np.int8), [len(a), len(b)]) for a, b in gone]) if gone else None
+    del gone
     scale = 1 / np.sqrt(np.maximum(count[used], 1) / n)  # a rare feature moves as freely as a common one
     scale = np.minimum(scale, 20.0)
     w, v, b, t = np.zeros(k), np.zeros(k), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), 1.0
@@ -122,7 +143,7 @@ def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarr
     def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray, np.ndarray | None]:
         z = m.times(w * scale) + b
         d = c.times(w * scale) if c else None
-        return float((weight * (np.logaddexp(0, z) - y * z)).mean() + (swap_weight * (d @ d) / max(c.n, 1) if c else 0)), z, d
+        return float((weight * (np.logaddexp(0, z) - y * z)).mean() + (swap_weight * _dot(d, d) / max(c.n, 1) if c else 0)), z, d
 
     past = []
     for _ in range(steps):
@@ -131,14 +152,14 @@ def train(x: Sequence[np.ndarray], y: np.ndarray, swaps: Sequence[tuple[np.ndarr
         if len(past) > 10 and past[-11] - past[-1] < still * past[-11]:
             break
         r = weight * (1 / (1 + np.exp(-z)) - y) / n
-        g = m.back(r, k) * scale + (2 * swap_weight / max(c.n, 1) * c.back(d, k) * scale if c else 0)
+        g = m.back(r) * scale + (2 * swap_weight / max(c.n, 1) * c.back(d) * scale if c else 0)
         gb = r.sum()
         while True:
             new = v - step * g
             new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
             nb = vb - step * gb
             dw = new - v
-            if loss(new, nb)[0] <= f + g @ dw + gb * (nb - vb) + (dw @ dw + (nb - vb) ** 2) / (2 * step) + 1e-12 or step < 1e-9:
+            if loss(new, nb)[0] <= f + _dot(g, dw) + gb * (nb - vb) + (_dot(dw, dw) + (nb - vb) ** 2) / (2 * step) + 1e-12 or step < 1e-9:
                 break
             step /= 2
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -194,24 +215,37 @@ def gathered(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS,
                 got.append([(k, 0, f.of(found), [])] + [(k, 1, *p) for p in swapped(found, terms, f)])
                 ys += [v] * len(got[-1])
             flat = [x for g in got for x in g]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array(ys, pa.int32()), pa.array([x[2] for x in flat], pa.list_(pa.int32())), pa.array([x[3] for x in flat], pa.list_(pa.int32()))], names=["k", "kind", "y", "a", "b"])
+            order = [zlib.crc32(np.asarray(x[3], np.int32).tobytes(), zlib.crc32(np.asarray(x[2], np.int32).tobytes())) for x in flat]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int32()), pa.array(ys, pa.int32()), pa.array([x[2] for x in flat], pa.list_(pa.int32())), pa.array([x[3] for x in flat], pa.list_(pa.int32())), pa.array(order, pa.int64())], names=["k", "kind", "y", "a", "b", "o"])
         f.memo.clear()
         released()
 
-    got = few.select(F.col("k").cast("long"), "t", F.col("y").cast("int")).mapInArrow(run, "k long, kind int, y int, a array<int>, b array<int>").toArrow()  # at most sample_rows texts and their swaps
-    got = sorted(zip(got["k"].to_pylist(), got["kind"].to_pylist(), got["y"].to_pylist(), got["a"].to_numpy(), got["b"].to_numpy(), strict=True), key=lambda r: (r[1], r[0], r[2], r[3].tobytes(), r[4].tobytes()))
-    return [r[3] for r in got if r[1] == 0], np.array([r[2] for r in got if r[1] == 0], dtype=float), [(r[3], r[4]) for r in got if r[1] == 1]
+    got = few.select(F.col("k").cast("long"), "t", F.col("y").cast("int")).mapInArrow(run, "k long, kind int, y int, a array<int>, b array<int>, o long").toArrow()  # at most sample_rows texts and their swaps
+    kind, y = got["kind"].to_numpy(), got["y"].to_numpy()
+    order = np.lexsort((got["o"].to_numpy(), y, got["k"].to_numpy(), kind))
+    a, b = (_views(got[c]) for c in ("a", "b"))
+    first = order[kind[order] == 0]
+    return [a[i] for i in first], y[first].astype(float), [(a[i], b[i]) for i in order[kind[order] == 1]]
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as parts of one array."""
+    one = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return np.split(one.flatten().to_numpy(), np.asarray(one.offsets)[1:-1] - (np.asarray(one.offsets)[0] if len(one) else 0)) if len(one) else []
 
 
 def fit(docs: DataFrame, labels: DataFrame, terms: Terms = IDENTITY_TERMS, sample_rows: int = 8000, text: str = "text", key: str = "doc_id", **how) -> tuple[np.ndarray, float] | None:
     """Model from the labelled rows of docs; None if there are none."""
     x, y, swaps = gathered(docs, labels, terms, sample_rows, text, key)
-    return train(x, y, swaps, **how) if x else None
+    model = train(x, y, swaps, **how) if x else None
+    del x, y, swaps
+    released()  # the driver keeps the weights only
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "text") -> DataFrame:
     """docs with score (0 to 1)."""
-    sent = spark.sparkContext.broadcast(model)  # 2**BITS floats at most
+    shared = sent(spark, model)  # 2**BITS floats at most
     small_batches(spark)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
@@ -219,10 +253,10 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
         for b in slices(batches, text, SLICE):
-            if sent.value is None:
+            if shared.value is None:
                 out = [0.0] * b.num_rows
             else:
-                w, intercept = sent.value
+                w, intercept = shared.value
                 found = [dict.fromkeys(letters(x)) for x in b.column(at).to_pylist()]
                 f.add([x for d in found for x in d])
                 z = np.array([float(w[f.of(d)].sum()) if d else 0.0 for d in found]) + intercept

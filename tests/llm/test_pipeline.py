@@ -21,6 +21,17 @@ def folder(spark, docs_of, odd_rows, tmp_path_factory):
     return d
 
 
+def kept_by_hand(rows):
+    """One row of each component: the smallest id, null last; rows are nodes by their places."""
+    component = [literal(x)[2] for x in brute_components([(i, *r[1:]) for i, r in enumerate(rows)])]
+    at = dict(zip([literal(x)[0] for x in brute_components([(i, *r[1:]) for i, r in enumerate(rows)])], component, strict=True))
+    best = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0, i)
+        best[at[i]] = min(key, best.get(at[i], key))
+    return [rows[k[2]] for k in best.values()]
+
+
 def listed(df):
     return sorted(map(repr, (tuple(r) for r in df.collect())))
 
@@ -49,10 +60,7 @@ def test_stages(spark, folder, tmp_path):
     assert len(gone & {2000 + 5 * i for i in range(30)}) >= 28 and len(gone) <= 32
 
     before, after = seen[2]
-    rows = [tuple(r) for r in before.collect()]
-    stay = Counter(literal(x)[0] for x in brute_components(rows) if literal(x)[0] in (None, literal(x)[2]))
-    got = Counter(r["doc_id"] for r in after.collect())
-    assert set(got) == set(stay) and all(n == 1 for i, n in got.items() if i is not None)
+    assert sorted(map(repr, map(tuple, after.collect()))) == sorted(map(repr, kept_by_hand([tuple(r) for r in before.collect()])))
 
     before, after = seen[3]
     times = Counter(map(repr, (tuple(r) for r in after.collect())))
@@ -83,3 +91,23 @@ def test_stages_on_an_empty_table_and_with_clashing_columns(spark, folder, docs_
 
 def test_registry():
     assert sorted(registry.queries()) == sorted(["pipeline", *(f"op{n}_{x}" for n, x in {1: "exact_top_k", 2: "toxicity", 3: "bpe", 4: "lm_score", 5: "packed_ids", 6: "near", 7: "html_text", 8: "mixing", 9: "language_id", 10: "ngram_join", 11: "pivot_near_dup", 12: "filter_audit", 13: "periodic_runs"}.items())])
+
+
+def test_near_duplicates_are_rows_not_ids(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (7, c, "en", "s"), (7, c, "de", "s"), (None, c + " x", "en", "s"), (None, "q w e r t y u i", "en", "s"), (None, "q w e r t y u i", "en", "s"), (8, "", "en", "s"), (8, "", "en", "s")]
+    got = corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(3, a), (5, b), (7, c), (None, "q w e r t y u i"), (8, ""), (8, "")], key=repr)
+    assert got[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_free_what_they_worked_with(spark, folder, monkeypatch):
+    from assetloom.llm import common
+
+    gone, destroyed = [], []
+    remove = common._remove
+    monkeypatch.setattr(common, "_remove", lambda s, p: gone.append(p) or remove(s, p))
+    monkeypatch.setattr(common.Broadcast, "destroy", lambda self, blocking=False: destroyed.append(self))
+    out = corpus_pipeline.run(spark, folder)
+    assert len(gone) > 10 and len(destroyed) >= 3 and not common._working
+    assert out.count() > 0  # the result's own table stays
