@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assetloom.llm.common import staged
+from assetloom.llm.common import sent, staged
 
 SLACK = 1e-9  # for bounds that are computed in floating point
 
@@ -173,9 +173,9 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int =
     schema = "query_id long, vec_id long, score long"
     if not bands:
         return _ranked(spark.createDataFrame([], schema), k)
-    top = rows.orderBy(F.desc("norm"), "id").limit(longest).select("id", "v").toArrow()
-    seeds = spark.sparkContext.broadcast((top["id"].to_numpy(), _matrix(top["v"], np.int64)))  # `longest` vectors
-    table = spark.sparkContext.broadcast([(r["band"], r["most"]) for r in bands])
+    top = _long_ones(rows, longest).toArrow()
+    seeds = sent(spark, (top["id"].to_numpy(), _matrix(top["v"], np.int64)))  # `longest` vectors
+    table = sent(spark, [(r["band"], r["most"]) for r in bands])
 
     def reach(batches):
         """Each query with its first threshold and the bands that it must visit."""
@@ -195,15 +195,20 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int =
             yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(theta), pa.array(visited, pa.list_(pa.int64()))], names=["id", "v", "theta", "bands"])
 
     queries = staged(spark, _queries(rows, is_query).mapInArrow(reach, "id long, v array<long>, theta double, bands array<long>"), "queries")
-    # A band's candidates go only to the blocks of queries that visit the band; a band without a visit stays where it is.
-    asked = {r["band"]: r["n"] for r in queries.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
-    shape = [(r["band"], -(-r["n"] // block), -(-asked[r["band"]] // query_block)) for r in bands if r["band"] in asked]
-    if not shape:
-        return _ranked(spark.createDataFrame([], schema), k)
-    shape = F.broadcast(spark.createDataFrame(shape, "band long, blocks long, q_blocks long"))
+    # Queries stand in blocks of those that visit as many bands (every query visits the longest first), so that a band of short
+    # vectors is sent to the few blocks that reach it; a band without a visit stays where it is.
+    reach_of = {r["far"]: r["n"] for r in queries.groupBy(F.size("bands").alias("far")).agg(F.count("*").alias("n")).collect()}  # a row a band at most
+    first, at = {}, 0
+    for far in sorted(reach_of):
+        first[far] = (at, -(-reach_of[far] // query_block))
+        at += first[far][1]
+    own = F.broadcast(spark.createDataFrame([(far, a, n) for far, (a, n) in first.items()] or [(-1, 0, 1)], "far int, at long, n long"))
+    queries = queries.withColumn("far", F.size("bands")).join(own, "far").withColumn("qb", F.col("at") + F.pmod(F.xxhash64("id"), "n")).drop("far", "at", "n")
+    met = queries.select(F.explode("bands").alias("band"), "qb").distinct()  # bands * query blocks at most
+    shape = F.broadcast(spark.createDataFrame([(r["band"], -(-r["n"] // block)) for r in bands], "band long, blocks long"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    visits = queries.select("id", "v", "theta", F.explode("bands").alias("band")).join(shape, "band").withColumn("qb", F.pmod(F.xxhash64("id"), "q_blocks")).select("id", "v", "theta", "band", "qb", all_of("blocks").alias("salt"))
-    blocks = rows.join(shape, "band").select("id", "v", "band", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), "blocks").alias("salt"), all_of("q_blocks").alias("qb"))
+    visits = queries.select("id", "v", "theta", F.explode("bands").alias("band"), "qb").join(shape, "band").select("id", "v", "theta", "band", "qb", all_of("blocks").alias("salt"))
+    blocks = rows.join(shape, "band").join(_few(met), "band").select("id", "v", "band", F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), "blocks").alias("salt"), "qb")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -216,8 +221,22 @@ def exact_top_k(spark: SparkSession, rows: DataFrame, is_query: Column, k: int =
     return _ranked(_cogrouped(blocks, visits, search, schema), k)
 
 
-def _each(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+def _long_ones(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` distinct rows (id, v) of the longest: a histogram of lengths tells from which one on, and of more rows than
+    that a share is taken by hash. Their products are lower bounds, whichever they are."""
+    step = F.when(F.col("norm") > 0, F.floor(F.log("norm") * 64)).otherwise(F.lit(-(10**6))).cast("long")
+    total, least = 0, None
+    for r in sorted(rows.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["b"]):  # 64 ranges for each power of e
+        total, least = total + r["n"], r["b"]
+        if total >= most:
+            break
+    some = rows.where(step >= least).select("id", "v")
+    return some.where(F.pmod(F.xxhash64("id", "v"), F.lit(-(-total // most))) == 0).distinct().limit(2 * most)
+
+
+def _few(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """For a broadcast join if there are few, checked by counting; else for a shuffle join."""
+    return F.broadcast(pairs) if pairs.count() <= most else pairs
 
 
 def _cogrouped(blocks: DataFrame, visits: DataFrame, search: Callable, schema: str) -> DataFrame:
@@ -285,7 +304,7 @@ def _raised(x: np.ndarray, norm: np.ndarray, longest: np.ndarray) -> np.ndarray:
 
 
 def near(
-    spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, tables: int = 2, hashes: int = 3, width: float = 1.0, distance: float = 1.0, success: float = 0.75, block: int = 16384, query_block: int = 4096
+    spark: SparkSession, rows: DataFrame, is_query: Column, k: int = 20, tables: int = 2, hashes: int = 3, width: float = 1.0, distance: float = 1.0, success: float = 0.75, block: int = 16384, query_block: int = 16384
 ) -> DataFrame:
     """Approximately the k largest inner products: query_id, rank, vec_id, score. rows: id long, v array<double>.
 
@@ -331,7 +350,7 @@ def near(
     ranges = sorted({r for _, r, _ in first})
     known = {(t, r): np.array(sorted(c for u, s, c in first if (u, s) == (t, r)), dtype=np.int64) for t in range(tables) for r in ranges}
     blocks_of = {key: (np.array([first[(*key, c)] for c in cells.tolist()]), np.array([parts[(*key, c)] for c in cells.tolist()])) for key, cells in known.items()}
-    plan = spark.sparkContext.broadcast((known, blocks_of))
+    plan = sent(spark, (known, blocks_of))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -393,12 +412,11 @@ def near(
             met[i, j] = True
         return _searched(x, left["id"].to_numpy(), q, right["id"].to_numpy(), k, lambda i: met[i][of])
 
-    # Blocks of queries beyond the first take candidates once more; a query block is large, so that these are few.
-    if q_blocks > 1:
-        candidates = candidates.withColumn("qb", _each(q_blocks))
-    else:
-        candidates = candidates.withColumn("qb", F.lit(0).cast("long"))
-    found = candidates.groupBy("block", "qb").cogroup(visits.groupBy("at", "qb")).applyInArrow(search, schema)
+    # A block of candidates goes to the blocks of queries that visit it, and nowhere else.
+    visits = staged(spark, visits, "visits")
+    met = visits.select(F.col("at").alias("block"), F.col("qb").alias("of")).distinct()  # blocks * query blocks at most
+    candidates = candidates.join(_few(met), "block")
+    found = candidates.groupBy("block", "of").cogroup(visits.groupBy("at", "qb")).applyInArrow(search, schema)
     found = staged(spark, found.distinct(), "found")
 
     few = min(k, n - 1)
