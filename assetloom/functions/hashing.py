@@ -109,8 +109,10 @@ def from_bytes(b: Column, word: int = 0) -> Column:
 
 
 def fallback(name: Column, size: Column, mtime: Column) -> Column:
-    """For files that can't be decoded; callers set phash_is_fallback, and such hashes enter no similarity join."""
-    return F.xxhash64(name, size.cast("long"), F.unix_seconds(mtime.cast("timestamp")))
+    """The first eight bytes of the SHA-256 of name/size/seconds, for files that can't be decoded; callers set
+    phash_is_fallback, and such hashes enter no similarity join. assetloom.sources.decode has the same in Python."""
+    seconds = F.unix_seconds(mtime.cast("timestamp")).cast("string")
+    return from_bytes(F.unhex(F.sha2(F.concat(name, F.lit("/"), size.cast("long").cast("string"), F.lit("/"), seconds), 256)))
 
 
 def target_size(w: Column, h: Column, longest: Column) -> tuple[Column, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from assetloom.config import Config
 from assetloom.functions import magic, paths
 from assetloom.operators import dedup, near_long, similarity, store
 from assetloom.operators.near_index import NearIndex
+from assetloom.plans.progress import Progress, State
 from assetloom.sources.catalog import catalog
 from assetloom.sources.decode import hashed, split, with_pictures
 from assetloom.sources.folders import shared_dir
@@ -21,6 +23,10 @@ from assetloom.sources.pictures import EXTENSIONS, pictures, recovered_pictures
 LOG_LEVELS = {"trace": 5, "debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR}
 
 
+#: Files that a task hashes, beyond four tasks for each core.
+TASK_FILES = 1000
+
+
 class Engine:
     """Steps are logged to the logger ``assetloom``, from the level of the settings on."""
 
@@ -44,12 +50,20 @@ class Engine:
         c, self.roots = self.config, roots
         return catalog(self.spark, roots, c.max_depth, c.process_unsupported_formats, c.excluded_directories)
 
-    def hash_and_persist(self, assets: DataFrame, skip: DataFrame | None = None, **how) -> tuple[int, DataFrame]:
+    def hash_and_persist(self, assets: DataFrame, skip: DataFrame | None = None, tell: Callable[[State], None] | None = None, **how) -> tuple[int, DataFrame]:
         """Hashes what the store lacks, but for the skip list. Returns the store's version and the rejects, whose timeouts are
-        kept in the skip list."""
+        kept in the skip list. tell: is called with the state of the run while files are hashed. how: see decode.hashed."""
         todo = self.store.new_assets(assets.dropDuplicates(["path"]), self.config.force_rescan)
         todo = store.without_skipped(todo, self.skipped.read() if skip is None else skip)
-        rows = hashed(todo, **how)
+        todo = todo.checkpoint()
+        n = todo.count()
+        todo = todo.repartition(max(4 * self.spark.sparkContext.defaultParallelism, n // TASK_FILES))  # Spark would put rows together by their few bytes
+        if tell:
+            progress = Progress(self.spark, n, tell)
+            with progress:
+                rows = hashed(todo, **how, count=progress.count).checkpoint()
+        else:
+            rows = hashed(todo, **how)
         if self.roots:
             rows = with_pictures(rows, pictures(self.spark, self.roots, how.get("enhanced", False)))
         rows = rows.checkpoint()  # files are read once

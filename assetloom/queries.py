@@ -112,7 +112,7 @@ def q_digest(spark, d):
     return _t(spark, d, "pages").select("page_id", H.digest(F.col("html")).alias("digest"))
 
 
-@_query()
+@_query("SELECT doc_id, substring(sha256(source || '/' || octet_length(encode(text)) || '/' || coalesce(epoch(o_orderdate)::BIGINT, 0)), 1, 16) AS phash, true AS phash_is_fallback FROM documents LEFT JOIN orders ON o_orderkey = doc_id")
 def q_fallback(spark, d):
     rows = _t(spark, d, "documents").join(_t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate"), "doc_id", "left")
     return rows.select("doc_id", H.hex16(H.fallback(F.col("source"), F.octet_length("text"), F.coalesce("o_orderdate", F.lit("1970-01-01").cast("timestamp_ntz")))).alias("phash"), F.lit(True).alias("phash_is_fallback"))

@@ -162,7 +162,8 @@ def phash_enhanced(picture: np.ndarray, format_: str) -> int | list[int]:
 
 
 def fallback(path: str, size: int, mtime: float) -> int:
-    return int.from_bytes(hashlib.sha256(f"{os.path.basename(path)}\0{size}\0{int(mtime)}".encode()).digest()[:8], "big", signed=True)
+    """As assetloom.functions.hashing.fallback."""
+    return int.from_bytes(hashlib.sha256(f"{os.path.basename(path)}/{size}/{int(mtime)}".encode("utf-8", "surrogateescape")).digest()[:8], "big", signed=True)
 
 
 def recovered(data: bytes, decode: Decoder) -> np.ndarray | None:
@@ -253,8 +254,11 @@ class FailedError(Exception):
     """An error of guarded work: its class's name and its text."""
 
 
-def work(decoders: dict[str, Decoder], digest: Callable[[BinaryIO], bytes]) -> Callable:
-    """What a guard does: a file's digest, read in parts, or the hashes of its picture (None for a JPEG that no start mark helps)."""
+def work(decoders: dict[str, Decoder], digest: Callable[[BinaryIO], bytes], shrink: bool = False) -> Callable:
+    """What a guard does: a file's digest, read in parts, or the hashes of its picture (None for a JPEG that no start mark helps).
+
+    The long hash is that of the picture as phash_enhanced shrinks it (none for formats that have no long one); with
+    ``shrink`` the short one is phash_large's, else every picture is sampled as it is."""
 
     def run(what: str, path: str, format_: str, enhanced: bool):
         with open(path, "rb") as f:
@@ -262,7 +266,11 @@ def work(decoders: dict[str, Decoder], digest: Callable[[BinaryIO], bytes]) -> C
                 return digest(f)
             data, decode = f.read(), decoders[format_]
         picture = recovered(data, decode) if format_ == "jpeg" else decode(data)
-        return None if picture is None else (phash(picture), phash_words(picture) if enhanced else None, picture.shape[0] * picture.shape[1])
+        if picture is None:
+            return None
+        short = phash_large(picture, len(data)) if shrink else phash(picture)
+        long = phash_enhanced(picture, format_) if enhanced else None
+        return short, long if isinstance(long, list) else None, picture.shape[0] * picture.shape[1]
 
     return run
 
@@ -295,8 +303,9 @@ def hash_file(path: str, format_: str, known: Container[str], guard: Guard, seco
         return fail("phash", e, d)
 
 
-def hashed(catalog: DataFrame, decoders: dict[str, Decoder] | None = None, digest: Callable[[BinaryIO], bytes] | None = None, enhanced: bool = False) -> DataFrame:
-    """A row for each file of a catalog: hashes, or the stage and error that stopped it. digest: of an open file."""
+def hashed(catalog: DataFrame, decoders: dict[str, Decoder] | None = None, digest: Callable[[BinaryIO], bytes] | None = None, enhanced: bool = False, count: Callable[[bool], None] | None = None, shrink: bool = False) -> DataFrame:
+    """A row for each file of a catalog: hashes, or the stage and error that stopped it. digest: of an open file. count: is told
+    of each file whether it worked."""
     from assetloom.functions.blake3 import blake3_file
     from assetloom.functions.records import DIGEST_SECONDS, PHASH_SECONDS
 
@@ -306,9 +315,11 @@ def hashed(catalog: DataFrame, decoders: dict[str, Decoder] | None = None, diges
     fields = [c.split() for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guard = Guard(work(known, how))
+        guard = Guard(work(known, how, shrink))
         for b in batches:
             rows = [hash_file(path, f, known, guard, (DIGEST_SECONDS.get(f, DIGEST_SECONDS[""]), PHASH_SECONDS.get(f, PHASH_SECONDS[""])), enhanced) for path, f in zip(b["path"].to_pylist(), b["format"].to_pylist(), strict=True)]
+            for r in rows if count else ():
+                count(r[6] is None)
             columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), kinds[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])  # integers stay exact beside nulls
         guard.end()

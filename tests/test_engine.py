@@ -481,3 +481,72 @@ def test_components_of_hubs_chains_and_rings(spark, tmp_path):
         sizes = {r["label"]: r["n"] for r in got.groupBy("label").agg(F.count_distinct("node").alias("n"), F.count("*").alias("m")).where("n = m").collect()}
         assert sizes == {0: 100_001, 300_000: 61, 400_000: 501, 500_000: 21} and max(shuffles) < 60_000
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_progress_while_a_run_goes_on(spark, tmp_path):
+    import time
+
+    files = tmp_path / "files"
+    files.mkdir()
+    for i in range(30):
+        (files / f"{i}.heic").write_bytes(b"bad" if i % 5 == 0 else b"good")
+
+    def slow(data: bytes) -> np.ndarray:
+        time.sleep(0.1)
+        if data == b"bad":
+            raise ValueError("bad")
+        return picture(1)
+
+    told = []
+    engine = Engine(spark, str(tmp_path / "s"))
+    _, rejects = engine.hash_and_persist(engine.discover([str(files)]), decoders={"heic": slow}, tell=told.append)
+    last = told[-1]
+    assert (last.total, last.ok, last.errors, last.eta) == (30, 24, 6, 0) and rejects.count() == 6
+    assert last.tasks_done == last.tasks >= 8 and last.rate > 1 and last.text().endswith("| 24 ok | 6 errors | ETA: 0s")
+    early = [s for s in told[:-1] if s.ok + s.errors < 30]
+    assert early and all(s.eta > 0 for s in early) and [s.ok for s in told] == sorted(s.ok for s in told)
+    from assetloom.plans.progress import State
+
+    assert State(100, 0, 0, 5.0, 1, 0).eta == 4 and State(200, 0, 0, 0.0, 0, 0).text() == "0.0 img/s | 0 ok | 0 errors | ETA: 8s"
+    assert State(10_000, 1, 0, 2.0, 0, 0).text().endswith("ETA: 5h 33m") and State(700, 50, 50, 100.0, 0, 0).text().endswith("ETA: 10m 0s")
+
+
+def test_one_fallback_hash(spark, tmp_path):
+    (tmp_path / "x.jpg").write_bytes(b"junk")
+    os.utime(tmp_path / "x.jpg", (1_700_000_000, 1_700_000_000))
+    row = spark.sql("select 'x.jpg' as n, 4L as s, timestamp_seconds(1700000000) as t").select(H.fallback(F.col("n"), F.col("s"), F.col("t")).alias("h")).first()
+    assert row["h"] == decode.fallback(str(tmp_path / "x.jpg"), 4, 1_700_000_000.7) == 4237383503060961922
+
+
+def test_large_pictures_are_shrunk_before_they_are_hashed(tmp_path):
+    rng = np.random.default_rng(5)
+    big = np.repeat(np.repeat(rng.integers(0, 256, (37, 61, 3), dtype=np.uint8), 30, axis=0), 30, axis=1)  # 1110 x 1830
+    (tmp_path / "big").write_bytes(b"x")
+    for shrink in (False, True):
+        got = decode.work({"png": lambda d: big, "tiff": lambda d: big}, blake3_file, shrink)("picture", str(tmp_path / "big"), "png", True)
+        assert got == (decode.phash_large(big, 1) if shrink else decode.phash(big), decode.phash_enhanced(big, "png"), 1110 * 1830)
+        assert decode.work({"tiff": lambda d: big}, blake3_file, shrink)("picture", str(tmp_path / "big"), "tiff", True)[1] is None
+
+
+def test_a_key_that_comes_again_after_the_watermark(spark, tmp_path):
+    from assetloom.streaming.incremental import first_seen_for
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "path string, s long, n int").selectExpr("path", "timestamp_seconds(s) as ts", "n").coalesce(1).write.parquet(str(folder / name))
+
+    def run():
+        stream = first_seen_for(spark.readStream.schema("path string, ts timestamp, n int").option("maxFilesPerTrigger", 1).parquet(str(folder) + "/*"))
+        stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+
+    put("k0", [("a", 1000, 1), ("a", 900, 2), ("b", 1000, None), (None, 5, 1)])
+    put("k1", [("z", 9_000_000, 1), ("b", 1001, 3)])  # far beyond any watermark
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    run()
+    put("k2", [("a", 1000, 9), ("a", 99_000_000, 9), ("c", 7, 4), (None, 6, 2)])  # again, after a restart
+    run()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = sorted((tuple(r) for r in spark.read.parquet(str(out)).select("path", "n").collect()), key=repr)
+    assert got == sorted([("a", 2), ("b", None), ("c", 4), ("z", 1), (None, 1)], key=repr)
