@@ -13,7 +13,8 @@ small manifest, whose running sums give every document's place in the whole.
 
 Shards go to the folder that the cluster shares, each under a name of its own attempt and then renamed: a task that
 runs twice leaves one whole file. Encoding uses the tokenizers library once for each distinct word that a worker
-sees (words of Latin-1 texts; other texts are encoded whole).
+sees (words of Latin-1 texts; other texts are encoded whole); the worker process keeps them for its next shard, 400,000
+words of up to 64 letters or what one slice of text adds to them.
 
 Defined results: null and empty texts hold the end id only; rows with equal doc_id stand next to each other in order
 of their text's crc32, then text (so that an id of many rows spreads over shards); a null doc_id comes first; texts of any
@@ -23,12 +24,12 @@ length are encoded whole; an empty table gives no shard and an empty result; oth
 from __future__ import annotations
 
 import itertools
-import json
 import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm.bpe import END, Splitter, default_path
+from assetloom.llm.bpe import _CONTRACTED, _KIND, _LOW, byte_letters, default_path
 from assetloom.llm.common import fresh_dir, slices
 
 MAGIC = b"ALPK"
@@ -143,71 +144,114 @@ class ShardReader:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct word; a bounded memo holds what it said."""
+    """The tokenizers library, asked once for each distinct word; a bounded memo holds what it said.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Latin-1 texts of a slice are cut into words together, by byte tables that follow the file's normaliser and
+    pre-tokeniser; the words are numbered by Arrow, so that Python only meets the distinct ones. Other texts, and those
+    where special tokens may stand, are encoded whole."""
+
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads' arenas would only hold memory
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        # For words, which the splitter has normalised: the same model without the normaliser.
-        self.of_words = Tokenizer(self.whole.model)
-        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.split, self.memo, self.most = Splitter(path), {}, most
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith(END)]] = True
+        self.model = self.whole.model
+        self.memo, self.most, self.longest = {}, most, longest
+        letter = byte_letters()
+        self.letters = {i: "".join(letter[b] for b in chr(i).encode()) for i in range(256)}
 
     @property
     def bits(self) -> int:
         return max(1, int(self.whole.get_vocab_size() - 1).bit_length())
 
-    def _learn(self, new: list[str], at_once: int = 4096) -> None:
-        for i in range(0, len(new), at_once):
-            some = new[i : i + at_once]
-            lines = [" ".join(some[j : j + 256]) for j in range(0, len(some), 256)]
-            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.of_words.encode_batch_fast(lines, add_special_tokens=False)])
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self.memo |= {w: x.tobytes() for w, x in zip(some, np.split(ids, cuts[:-1]), strict=True)}
-                continue
-            for w in some:  # the library parts one of them otherwise than the splitter: texts with that word are encoded whole
-                own = np.array(self.of_words.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
-                self.memo[w] = own.tobytes() if len(own) and self.ends[own].sum() == 1 and self.ends[own[-1]] else None
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; the memo keeps those of words up to ``longest``."""
+        memo, tokenize = self.memo, self.model.tokenize
+        out = [memo.get(w) for w in words]
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(memo) + len(new) > self.most:
+            memo.clear()
+        for i in new:
+            w = words[i]
+            out[i] = array("I", [t.id for t in tokenize(w.translate(self.letters))]).tobytes()
+            if len(w) <= self.longest:
+                memo[w] = out[i]
+        return out
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        found: list[list[str] | np.ndarray] = []
-        for t in texts:
-            plain = t is None or (t.isascii() or self._latin(t)) and "<|" not in t
-            found.append(self.split.words(t) if plain else self._whole(t))
-        distinct = dict.fromkeys(w for ws in found if isinstance(ws, list) for w in ws)
-        new = [w for w in distinct if w not in self.memo]
-        if new and len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-            new = list(distinct)
-        if new:
-            self._learn(new)
-        out = []
-        for t, ws in zip(texts, found, strict=True):
-            if isinstance(ws, list):
-                each = [self.memo[w] for w in ws]
-                ws = self._whole(t) if None in each else np.frombuffer(b"".join(each), dtype=np.uint32)
-            out.append(ws)
+        out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(texts)
+        plain, raw = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            latin = _latin(t) if "<|" not in t else None
+            if latin is None:
+                out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                plain.append(i)
+                raw.append(latin)
+        for i, ids in zip(plain, self._together(raw), strict=True):
+            out[i] = ids
         return out
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    @staticmethod
-    def _latin(text: str) -> bool:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return True
+    def _together(self, raw: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each Latin-1 text."""
+        words, first = cut(raw)
+        if not len(words):
+            yield from [np.empty(0, dtype=np.uint32)] * len(raw)
+            return
+        numbered = words.dictionary_encode()
+        _, place, data = numbered.dictionary.buffers()
+        place = np.frombuffer(place, np.int64, len(numbered.dictionary) + 1)
+        distinct = np.insert(np.frombuffer(data, np.uint8, place[-1]), place[1:-1], 32).tobytes().decode("latin-1").split(" ")
+        flat = pa.array(self._ids(distinct), pa.large_binary()).take(numbered.indices)
+        _, place, data = flat.buffers()
+        place, ids = np.frombuffer(place, np.int64, len(flat) + 1) // 4, np.frombuffer(data, np.uint32)
+        for a, b in itertools.pairwise(place[first].tolist()):
+            yield ids[a:b]
+
+
+def _latin(text: str) -> bytes | None:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+_KINDS, _LOWERED, _SPACES = _KIND.tobytes(), _LOW.tobytes(), np.flatnonzero(_KIND == 0).astype(np.uint8).tobytes()
+
+
+def cut(raw: Sequence[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of Latin-1 texts one after another, in lower case, and where each text's begin (and one for the end).
+
+    A word is a run of letters, a single number, a run of other characters, or a contraction's ending: an apostrophe that no
+    other character stands before, with the letters that _CONTRACTED allows."""
+    text = b" ".join(raw)
+    kind = np.frombuffer(text.translate(_KINDS), dtype=np.uint8)
+    inside = kind != 0
+    starts = kind == 2
+    starts[:1] = True
+    starts[1:] |= kind[1:] != kind[:-1]
+    starts &= inside
+    if b"'" in text:
+        for m in _CONTRACTED.finditer(text):
+            if starts[m.start()]:
+                starts[m.start() + 1] = False
+                if m.end() < len(text) and inside[m.end()]:
+                    starts[m.end()] = True
+    begin = np.cumsum([0, *(len(t) + 1 for t in raw)])
+    first = np.searchsorted(np.flatnonzero(starts), begin)
+    low = text.translate(_LOWERED, _SPACES)
+    place = np.append(np.flatnonzero(starts[inside]), len(low))
+    return pa.Array.from_buffers(pa.large_binary(), len(place) - 1, [None, pa.py_buffer(place), pa.py_buffer(low)]), first
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, changed: int) -> LibraryEncoder:
+    """One for all shards that a worker process writes, with what it has learnt; changed: the file's time, in ns."""
+    return LibraryEncoder(path)
 
 
 def write(spark: SparkSession, docs: DataFrame, directory: str, path: str, end_id: int = 2, shard_bytes: int = 16_000_000) -> list[tuple[int, str, int, int]]:
@@ -222,11 +266,11 @@ def write(spark: SparkSession, docs: DataFrame, directory: str, path: str, end_i
         f = writer = None
         shard = 0
         store, folder = fs.FileSystem.from_uri(directory)
-        for b in slices(batches, "text", 1_500_000):
+        for b in slices(batches, "text"):
             if not b.num_rows:
                 continue
             if writer is None:
-                shard, encoder = b["shard"][0].as_py(), LibraryEncoder(path)
+                shard, encoder = b["shard"][0].as_py(), _encoder(path, os.stat(path).st_mtime_ns)
                 store.create_dir(folder, recursive=True)
                 name = f"{folder}/shard-{shard:06d}.alpk"
                 mine = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"

@@ -101,6 +101,42 @@ def test_texts_with_words_that_the_library_parts_otherwise(library):
     assert [x.tolist() for x in e.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_python_meets_only_the_distinct_words_of_a_slice(library):
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.n += 1
+            return super().__getitem__(k)
+
+    e = packing.LibraryEncoder(bpe.default_path())
+    texts = ["some words again " * 5_000, "Again some WORDS " * 5_000, "y" * 70 + " don't " * 100]
+    for _ in range(2):
+        e.memo = asked = Asked(e.memo)
+        assert [x.tolist() for x in e.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert asked.n <= 20
+    assert "again" in asked and "y" * 70 not in asked
+
+
+def test_packed_words_are_cut_as_by_the_library(library):
+    rng, e = np.random.default_rng(5), packing.LibraryEncoder(bpe.default_path(), most=500)
+    for letters in ("'stmdrevlaxSTMDREVL 1.", "'`s1 \n", "".join(map(chr, range(256)))):
+        texts = ["".join(rng.choice(list(letters), rng.integers(0, 40))) for _ in range(400)]
+        texts[::50] = [None, "", " ", "'", "'s", "<|endoftext|> x", "\xa0\x85", "’s 日本 it's"]
+        for t, x in zip(texts, e.encode(texts), strict=True):
+            assert x.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    assert e.encode([]) == [] and [len(x) for x in e.encode([None, "", " "])] == [0, 0, 0]
+
+
+def test_shards_of_one_worker_share_an_encoder():
+    path = bpe.default_path()
+    assert packing._encoder(path, 1) is packing._encoder(path, 1) is not packing._encoder(path, 2)
+
+
 def test_packed_ids(spark, docs_of, odd_rows, library):
     got = packing.op5_packed_ids(spark, docs_of(odd_rows)).collect()
     order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), r[1] is not None, r[1] or ""))
